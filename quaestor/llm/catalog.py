@@ -1,11 +1,15 @@
 """The corpus queries and, where SQL can state them, their DuckDB SQL."""
 
 from .op01_mixing import op1_mixing
+from .op02_simhash import op2_simhash
 from .op05_quality import op5_quality
+from .op08_substring import op8_substring_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
     "op5_quality": op5_quality,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 SQL: dict[str, str] = {}

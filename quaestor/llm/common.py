@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -66,3 +69,45 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     out = parts.join(F.broadcast(offsets), "_range")
     out = out.withColumns({k: F.coalesce(F.sum(f"_v_{k}").over(within), F.lit(0)) + F.col(f"_o_{k}") for k in sums})
     return out.drop("_range", *[f"_{p}_{k}" for k in sums for p in "vo"])
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the Arrow batches that Python workers get."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each text begins; a null is an empty text."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of links (a, b); root is the smallest node connected.
+
+    Alternates large and small stars: every node links its larger neighbours, then
+    its smaller ones, to the smallest of them, until nothing changes. Minima are
+    combined before the shuffle and joined back, so no neighbourhood meets in a row.
+    """
+    links = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if links.isEmpty():
+        return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    before = None
+    while True:
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select("v", "m").union(least).toDF("u", "v").where("u != v").distinct()
+        links = cut(small)
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
