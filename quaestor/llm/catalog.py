@@ -2,14 +2,18 @@
 
 from .op01_mixing import op1_mixing
 from .op02_simhash import op2_simhash
+from .op03_media import op3_media
 from .op05_quality import op5_quality
 from .op08_substring import op8_substring_dedup
+from .op09_tokens import op9_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_media": op3_media,
     "op5_quality": op5_quality,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 SQL: dict[str, str] = {}
