@@ -6,6 +6,7 @@ from .op03_media import op3_media
 from .op05_quality import op5_quality
 from .op08_substring import op8_substring_dedup
 from .op09_tokens import op9_token_counts
+from .op10_scoring import op10_lm_scoring
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 SQL: dict[str, str] = {}
