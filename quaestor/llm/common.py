@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,3 +112,31 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
+
+
+class Lookup:
+    """A table from longs to doubles that answers for whole arrays; -1 can't be a key, and where none is known the answer is NaN."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, np.nan)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]
+            done = self.keys[at] == keys[left]
+            self.values[at[done]] = values[left[done]]
+            left, at = left[~done], (at[~done] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        wrong = lambda some: (self.keys[at[some]] != keys[some]) & (self.keys[at[some]] != -1)
+        missed = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
+        while len(missed):
+            at[missed] = (at[missed] + 1) & self.mask
+            missed = missed[wrong(missed)]
+        return self.values[at]

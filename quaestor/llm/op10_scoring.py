@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import Lookup, cut, small_batches
 
 #: Bytes of the longest context, 6 at most.
 DEPTH = 4
@@ -34,7 +34,6 @@ HELD = 1 << 21
 RARE = 1 << 20
 #: Distinct keys that a task gathers before it hands them on.
 FLUSH = 400_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _layout(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,33 +130,6 @@ def mixtures(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     return steps.join(path, ["ctx", "node"]).groupBy("gram").agg(F.sum(taken).alias("score"))
 
 
-class _Lookup:
-    """A table from longs to doubles that answers for whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.mask = (1 << self.bits) - 1
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[left[free]]
-            done = self.keys[at] == keys[left]
-            self.values[at[done]] = values[left[done]]
-            left, at = left[~done], (at[~done] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys)
-        missed = np.flatnonzero(self.keys[at] != keys)
-        while len(missed):
-            at[missed] = (at[missed] + 1) & self.mask
-            missed = missed[self.keys[at[missed]] != keys[missed]]
-        return self.values[at]
-
-
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, depth: int = DEPTH, held: int = HELD) -> DataFrame:
     """For each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -185,7 +157,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: C
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {w: float(np.log10((c + 1) / (n + v + 1))) for w, c in frequent.value.items()}
-        find = _Lookup(*table.value) if small else None
+        find = Lookup(*table.value) if small else None
         for batch in batches:
             for part, texts in _blocks(batch):
                 ids, out = part.column("doc_id"), {k: [] for k in ("row", "word", "gram", "k", "n_tokens", "n_known", "base", "score", "n_bytes", "m")}
