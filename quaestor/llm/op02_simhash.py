@@ -22,8 +22,8 @@ from .common import components, cut, small_batches, texts_of, without
 
 SHINGLE = 3
 RADIUS = 3
-#: Fingerprints in a segment's bucket above which pairs are no longer formed.
-DENSE = 48
+#: Fingerprints in a bucket above which pairs are no longer formed: from about there, the meeting points cost less.
+DENSE = 1024
 _BLOCK = 1 << 17
 
 # Fixed values of XXH64.
