@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, texts_of, without
+from .common import components, cut, small_batches, texts_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -116,11 +116,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, ...) with ``fp`` in place of the text."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
             fp = fingerprints(*texts_of(part.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            rest = part.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *map(part.column, rest)], names=["doc_id", "fp", *rest])
 
 
 def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,12 +182,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table gives an empty result; other columns aren't looked at.
     """
     prints = cut(fingerprinted(docs, key, text))
+    return prints.join(_named(prints), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select("fp")))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = grouped.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return grouped.join(named, "root").select("fp", "root", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +200,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count("*").alias("_n"))
-    kept = first.select(F.col("component_id").alias("_id"))
-    whole = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return without(whole.dropDuplicates(["doc_id"]), "_id").select(*docs.columns)
+    """One document of each component stays: that with the smallest doc_id (null last), of several the one with the smallest fingerprint and text hash."""
+    hashed = F.xxhash64("text")
+    small_batches(spark)
+    prints = cut(docs.select("doc_id", "text", hashed.alias("h")).mapInArrow(_hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, h long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")
+    first = prints.join(_named(prints.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min(order).alias("_first"))
+    kept = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.h").alias("_h"))
+    whole = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_h")))
+    return whole.dropDuplicates(["_id", "_h"]).select(*docs.columns)

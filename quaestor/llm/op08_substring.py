@@ -144,5 +144,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated passages; those of which nothing is left go."""
-    return deduplicated(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """The documents without their repeated passages, n_chars made to fit; those that lose all their words go."""
+    left = deduplicated(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
