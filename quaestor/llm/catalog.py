@@ -5,6 +5,7 @@ from .op02_simhash import op2_simhash
 from .op03_media import op3_media
 from .op05_quality import op5_quality
 from .op06_sentencepiece import op6_sentencepiece
+from .op07_sharding import op7_sharding
 from .op08_substring import op8_substring_dedup
 from .op09_tokens import op9_token_counts
 from .op10_scoring import op10_lm_scoring
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_media": op3_media,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_sharding": op7_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
