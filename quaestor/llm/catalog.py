@@ -3,6 +3,8 @@
 from .op01_mixing import op1_mixing
 from .op02_simhash import op2_simhash
 from .op03_media import op3_media
+from .op04_licenses import SQL as LICENSE_SQL
+from .op04_licenses import op4_license_scan
 from .op05_quality import op5_quality
 from .op06_sentencepiece import op6_sentencepiece
 from .op07_sharding import op7_sharding
@@ -14,6 +16,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_media": op3_media,
+    "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
@@ -22,4 +25,6 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_license_scan": LICENSE_SQL,
+}
