@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, small_batches, texts_of, without
+from .common import cut, let, small_batches, texts_of, without
 
 #: One word start in so many ends a chunk.
 WORDS = 4
@@ -96,7 +96,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: in
     empty result; other columns aren't looked at.
     """
     every = chunks(docs, key, text)
-    homes = every.groupBy("d1", "d2").agg(F.min("doc").alias("home"), F.max("doc").alias("last")).where("home < last").drop("last")
+    # Kept apart, the join deals both sides anew and can split a chunk that very many documents have.
+    homes = cut(every.groupBy("d1", "d2").agg(F.min("doc").alias("home"), F.max("doc").alias("last")).where("home < last").drop("last"))
     repeats = every.join(homes.hint("shuffle_hash"), ["d1", "d2"]).where("doc > home")
     item = F.struct("start", "end", "home")
     joined = lambda s, x: F.when(
