@@ -3,8 +3,7 @@
 A store is a folder with immutable Parquet shards and one manifest for each
 version. Arrivals are appended as small shards. Shards whose sizes lie within a
 factor of each other form a tier; a tier with enough shards is merged into files of
-the target size, which are packed by Spark's own file reader and so need no
-shuffle. Each change is committed by renaming a new manifest into place, which
+about the target size without a shuffle. Each change is committed by renaming a new manifest into place, which
 fails if that version exists: readers see the old shards or the new, never both.
 """
 
@@ -12,9 +11,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,25 +97,12 @@ def append(spark: SparkSession, root: str, docs: DataFrame, rows: int = ARRIVAL_
 
 
 
-@contextmanager
-def _packing(spark: SparkSession, target: int) -> Iterator[None]:
-    """Within, whole files are read together up to ``target`` bytes a partition."""
-    wanted = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def compact(spark: SparkSession, root: str, target: int = TARGET, fanout: int = FANOUT) -> int:
     """Merges full tiers until none is left; returns the last version.
 
     Tier 0 has the shards of at least 1/fanout of ``target``, which stay as they
-    are; each further tier's are smaller by the factor ``fanout``.
+    are; each further tier's are smaller by the factor ``fanout``. A merge leaves
+    fewer shards than it takes, so this ends.
     """
     while True:
         known = versions(spark, root)
@@ -136,8 +119,9 @@ def compact(spark: SparkSession, root: str, target: int = TARGET, fanout: int =
         # The manifest's paths are what a reader of these shards is given.
         paths = [r["path"] for r in merged.select("path").toLocalIterator()]
         folder, version = f"{root}/data/{uuid.uuid4().hex}", known[-1] + 1
-        with _packing(spark, target):
-            spark.read.schema(schema).parquet(*paths).write.parquet(folder)
+        size = merged.agg(F.sum("bytes")).first()[0]
+        # Whole partitions of the scan are put together, without a shuffle.
+        spark.read.schema(schema).parquet(*paths).coalesce(-(-size // target)).write.parquet(folder)
         rest = tiered.where(~F.col("tier").isin(full)).drop("tier").unionByName(shards.where("shard is null"))
         _commit(spark, root, rest.unionByName(_written(spark, folder, schema, version)), version)
 
