@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import Lookup, cut, small_batches
 
@@ -96,7 +97,7 @@ def _tallies(depth: int):
     return tally
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _estimate(n0: pd.Series, n1: pd.Series) -> pd.Series:
     """The natural logarithm of the Krichevsky-Trofimov probability of the counts."""
     gamma = np.frompyfunc(lgamma, 1, 1)
