@@ -5,6 +5,7 @@ from .op02_simhash import op2_simhash
 from .op03_media import op3_media
 from .op04_licenses import SQL as LICENSE_SQL
 from .op04_licenses import op4_license_scan
+from .op05_quality import SQL as QUALITY_SQL
 from .op05_quality import op5_quality
 from .op06_sentencepiece import op6_sentencepiece
 from .op07_sharding import op7_sharding
@@ -27,4 +28,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op4_license_scan": LICENSE_SQL,
+    "op5_quality": QUALITY_SQL,
 }
