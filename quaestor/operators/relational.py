@@ -71,7 +71,8 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Keys of new rows and of rows in which one of ``columns`` changed."""
     same = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in columns])
-    return new.alias("n").join(old.alias("o"), key, "left").where(F.col(f"o.{columns[0]}").isNull() & ~same | ~same).select(key)
+    known = old.withColumn("_known", F.lit(True))
+    return new.alias("n").join(known.alias("o"), key, "left").where(F.col("_known").isNull() | ~same).select(key)
 
 
 def sync_plan(drafts: DataFrame, existing: DataFrame, key: str, digest: str) -> DataFrame:
