@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes before each word; where it is small, a chunk ends.
 Cuts so depend on the 16 bytes before them alone, and an insertion moves no cut
 but those next to it. A chunk belongs to the document with the smallest id that
-has it (told by a 128-bit digest); in every other document it is a repeat, and
+has it (told by a 96-bit digest); in every other document it is a repeat, and
 neighbouring repeats that together are long enough form a span.
 """
 
@@ -67,24 +67,23 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
             data, offsets = texts_of(part.column(1))
-            counts, starts, ends, digests = [], [], [], []
+            counts, places, digests = [], [], []
             for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 edges = cuts(data[x:y]) if y > x else np.zeros(1, np.int64)
                 text, at = data[x:y].tobytes(), edges.tolist()
                 digests += [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
                 counts.append(len(at) - 1)
-                starts.append(edges[:-1])
-                ends.append(edges[1:])
-            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                places.append(edges[:-1] << 32 | edges[1:])
+            whole = b"".join(digests)
             ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
-            columns = [ids, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "d1", "d2"])
+            columns = [ids, pa.array(np.concatenate(places)), pa.array(np.frombuffer(whole, np.int64)[::2]), pa.array(np.frombuffer(whole, np.int32)[2::4])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "place", "d1", "d2"])
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, end, d1, d2): every chunk of every whole text, by byte offsets."""
+    """(doc, place, d1, d2): every chunk of every whole text; place is where it begins and, in its low half, ends."""
     small_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NOBODY)).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_chunks, "doc long, start int, end int, d1 long, d2 long")
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NOBODY)).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_chunks, "doc long, place long, d1 long, d2 int")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SPAN) -> DataFrame:
@@ -99,7 +98,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: in
     # Kept apart, the join deals both sides anew and can split a chunk that very many documents have.
     homes = cut(every.groupBy("d1", "d2").agg(F.min("doc").alias("home"), F.max("doc").alias("last")).where("home < last").drop("last"))
     repeats = every.join(homes.hint("shuffle_hash"), ["d1", "d2"]).where("doc > home")
-    item = F.struct("start", "end", "home")
+    item = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("end"), "home")
     joined = lambda s, x: F.when(
         F.element_at(s, -1)["end"] == x["start"],
         F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["start"].alias("start"), x["end"].alias("end")))),
