@@ -103,7 +103,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     one draw, weighted by their number. Null keys and null sources are values like
     any other. A row of size 0, or of a null size, gets no copy. An empty table
     gives an empty result. Columns of the three names that ``docs`` may have are
-    replaced. The draw depends on keys, sources, sizes and ``seed`` alone.
+    replaced, those named _dk, _ds and _dz go. The draw depends on keys, sources, sizes and ``seed`` alone.
     """
     base = docs.select(F.col(key).alias("_key"), F.col(source).alias("_src"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
     units = cut(base.groupBy("_key", "_src", "size").agg(F.count("*").alias("rows")))
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     same = F.col("_key").eqNullSafe(F.col("_tk")) & F.col("_src").eqNullSafe(F.col("_ts")) & (F.col("size") == F.col("_tz"))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.coalesce("take", F.lit(0)))
     decided = rated.join(taken, same, "left").select(F.col("_key").alias("_dk"), F.col("_src").alias("_ds"), F.col("size").alias("_dz"), copies.cast("int").alias("copies"), "source_size", "target")
-    rows = without(docs, "copies", "source_size", "target")
+    rows = without(docs, "copies", "source_size", "target", "_dk", "_ds", "_dz")
     match = rows[key].eqNullSafe(F.col("_dk")) & rows[source].eqNullSafe(F.col("_ds")) & (F.coalesce(rows[size].cast("long"), F.lit(0)) == F.col("_dz"))
     return rows.join(decided, match).drop("_dk", "_ds", "_dz")
 

@@ -47,7 +47,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the METRICS of its whole texts; a null text counts as an empty one.
 
     Windows are compared by a 64-bit hash of their words. Columns of these names
-    are replaced.
+    are replaced; one named _m goes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     blank = r"^[\x20\x09-\x0D]*$"
@@ -57,7 +57,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(blank))
     symbols = F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", ""))
-    out = without(docs, *METRICS).withColumn("_m", let(words(F.col(text)), counts))
+    out = without(docs, *METRICS, "_m").withColumn("_m", let(words(F.col(text)), counts))
     out = out.withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     out = out.withColumn("n_symbols", symbols.cast("long")).withColumns({k: F.col(f"_m.{k}") for k in ("n_words", "word_chars", "n_repeat_words")})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -95,7 +95,7 @@ def ruled(docs: DataFrame, text: str = "text", host: str = "source", most: float
     """
     rows = judged if judged is not None else measured(docs, text)
     verdicts = host_verdicts(rows, host, most=most).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("_rejected"))
-    out = without(rows, "host_rate", "kept").join(verdicts, F.col(host) == F.col("_host"), "left")
+    out = without(rows, "host_rate", "kept", "_host", "_rejected").join(verdicts, F.col(host) == F.col("_host"), "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("_rejected", F.lit(False))).drop("_host", "_rejected")
 
 

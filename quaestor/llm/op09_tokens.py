@@ -27,7 +27,7 @@ def counted(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: st
     """``docs`` with ``n_tokens``, the whole text's encoded length, in place of the text.
 
     ``ranks`` is a vocabulary file on the driver; its bytes travel to the workers.
-    Empty and null texts have 0 tokens. A column n_tokens is replaced.
+    Empty and null texts have 0 tokens. A column n_tokens is replaced, one named _text goes.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(Path(ranks).read_bytes())
@@ -39,7 +39,7 @@ def counted(docs: DataFrame, text: str = "text", ranks: str = RANKS, pattern: st
             sizes = [len(encoding.encode_ordinary(x.as_py() or "")) for x in batch.column("_text")]
             yield batch.drop_columns(["_text"]).append_column("n_tokens", pa.array(sizes, pa.int64()))
 
-    rows = without(docs, "n_tokens")
+    rows = without(docs, "n_tokens", "_text")
     rest = [c for c in rows.columns if c != text]
     named = rows.select(*rest, F.col(text).cast("string").alias("_text"))
     schema = rows.select(*rest).withColumn("n_tokens", F.lit(0).cast("long")).schema

@@ -44,7 +44,7 @@ def test_lengths_and_limits(spark, odd, documents):
     extra = documents([(20 + i, "word " * (i * i % 17), None) for i in range(60)])
     docs = odd.unionByName(extra)
     lengths = [len(encoding.encode_ordinary(r.text or "")) for r in docs.collect()]
-    sums = K.suffix_sums(K.histogram(K.counted(docs)))
+    sums = K.suffix_sums(K.histogram(K.counted(docs.withColumn("_text", docs.lang).withColumn("n_tokens", docs.lang))))
     rows = {r.n_tokens: r for r in sums.collect()}
     assert sorted(rows) == sorted(set(lengths))
     for n, r in rows.items():

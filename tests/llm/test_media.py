@@ -28,7 +28,7 @@ def test_damage_is_found():
 
 
 def test_columns(spark, odd, documents):
-    rows = M.described(M.stored(odd.withColumn("media", F.lit("clash")).withColumn("feature", F.lit(1)))).collect()
+    rows = M.described(M.stored(odd.withColumn("media", F.lit("clash")).withColumn("feature", F.lit(1)).withColumn("_text", F.lit(2)))).collect()
     assert len(rows) == 9
     texts = {(r.doc_id, r.n_chars): r.text for r in odd.collect()}
     for r in rows:

@@ -69,7 +69,7 @@ def quality(text):
 
 def test_metrics_by_brute_force(spark, odd):
     more = ["one two three\n" * 20, "a\n\na\n b\n b", "# * $ % & | < > é ü", " ".join(str(i % 9) for i in range(40)), "x " * 200]
-    df = odd.unionByName(spark.createDataFrame([(100 + i, t, None, "u", 0) for i, t in enumerate(more)], odd.schema)).withColumn("n_words", F.lit("clash"))
+    df = odd.unionByName(spark.createDataFrame([(100 + i, t, None, "u", 0) for i, t in enumerate(more)], odd.schema)).withColumn("n_words", F.lit("clash")).withColumn("_m", F.lit(0))
     for r in op05_quality.measured(df).collect():
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == quality(r.text)
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
