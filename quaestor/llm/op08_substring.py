@@ -4,7 +4,9 @@ A gear hash rolls over the bytes before each word; where it is small, a chunk en
 Cuts so depend on the 16 bytes before them alone, and an insertion moves no cut
 but those next to it. A chunk belongs to the document with the smallest id that
 has it (told by a 96-bit digest); in every other document it is a repeat, and
-neighbouring repeats that together are long enough form a span.
+neighbouring repeats that together are long enough form a span. A short chunk may be
+met anywhere by chance: a span's ends are chunks of some length, such as have a
+neighbour from the same document, or the text's first and last.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, let, small_batches, texts_of, without
@@ -27,6 +29,8 @@ WINDOW = 16
 LONGEST = 512
 #: Bytes of the shortest span.
 SPAN = 100
+#: Bytes of a chunk that can end a span by itself.
+FIRM = 32
 _NOBODY = (1 << 63) - 1
 
 
@@ -73,7 +77,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, at = data[x:y].tobytes(), edges.tolist()
                 digests += [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
                 counts.append(len(at) - 1)
-                places.append(edges[:-1] << 32 | edges[1:])
+                at_end = np.arange(1, len(at)) == len(at) - 1
+                places.append(edges[:-1] << 32 | at_end.astype(np.int64) << 31 | edges[1:])
             whole = b"".join(digests)
             ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
             columns = [ids, pa.array(np.concatenate(places)), pa.array(np.frombuffer(whole, np.int64)[::2]), pa.array(np.frombuffer(whole, np.int32)[2::4])]
@@ -81,7 +86,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, place, d1, d2): every chunk of every whole text; place is where it begins and, in its low half, ends."""
+    """(doc, place, d1, d2): every chunk of every whole text; place is where it begins and, in its low half, ends, with bit 31 set in a text's last."""
     small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NOBODY)).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_chunks, "doc long, place long, d1 long, d2 int")
 
@@ -98,7 +103,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: in
     # Kept apart, the join deals both sides anew and can split a chunk that very many documents have.
     homes = cut(every.groupBy("d1", "d2").agg(F.min("doc").alias("home"), F.max("doc").alias("last")).where("home < last").drop("last"))
     repeats = every.join(homes.hint("shuffle_hash"), ["d1", "d2"]).where("doc > home")
-    item = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("end"), "home")
+    item = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("end"), "home", (F.col("place").bitwiseAND(1 << 31) != 0).alias("last"))
     joined = lambda s, x: F.when(
         F.element_at(s, -1)["end"] == x["start"],
         F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["start"].alias("start"), x["end"].alias("end")))),
@@ -106,9 +111,24 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: in
     first = lambda c: F.array(F.struct(c[0]["start"].alias("start"), c[0]["end"].alias("end")))
     runs = lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), first(c), joined)
     by_doc = repeats.groupBy("doc").agg(F.array_sort(F.collect_set(item)).alias("c"))
-    long = by_doc.select("doc", "c", F.explode(F.filter(let(F.col("c"), runs), lambda r: r["end"] - r["start"] >= shortest)).alias("r"))
+
+    def firm(c: Column) -> Column:
+        def next_to(x: Column, y: Column, gap: Column) -> Column:
+            return F.coalesce((y["home"] == x["home"]) & gap, F.lit(False))
+
+        def marked(x: Column, i: Column) -> Column:
+            before, after = F.get(c, i - 1), F.get(c, i + 1)
+            held = (x["end"] - x["start"] >= FIRM) | (x["start"] == 0) | x["last"] | next_to(x, before, before["end"] == x["start"]) | next_to(x, after, after["start"] == x["end"])
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["home"].alias("home"), held.alias("firm"))
+
+        return F.transform(c, marked)
+
+    long = by_doc.select("doc", let(F.col("c"), firm).alias("c"), F.explode(F.filter(let(F.col("c"), runs), lambda r: r["end"] - r["start"] >= shortest)).alias("r"))
     inside = F.filter("c", lambda x: (x["start"] >= F.col("r.start")) & (x["end"] <= F.col("r.end")))
-    return long.select("doc", "r.start", "r.end", F.array_sort(F.array_distinct(F.transform(inside, lambda x: x["home"]))).alias("first_docs"))
+    ends = F.filter("inside", lambda x: x["firm"])
+    trimmed = long.select("doc", inside.alias("inside")).select("doc", "inside", F.get(ends, F.lit(0))["start"].alias("start"), F.get(ends, F.size(ends) - 1)["end"].alias("end")).where(F.col("end") - F.col("start") >= shortest)
+    kept = F.filter("inside", lambda x: (x["start"] >= F.col("start")) & (x["end"] <= F.col("end")))
+    return trimmed.select("doc", "start", "end", F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["home"]))).alias("first_docs"))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
