@@ -146,7 +146,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SPAN) -> DataFrame:
-    """``docs`` with the spans of ``spans()`` cut out of their texts. Texts that lose all become empty."""
+    """``docs`` with the spans of ``spans()`` cut out of their texts. Texts that lose all become empty; columns named _doc, _gone or _text go."""
     found = spans(docs, key, text, shortest).groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
     ided = without(docs, "_doc", "_gone", "_text").withColumnRenamed(text, "_text")
     joined = ided.join(found, F.coalesce(F.col(key).cast("long"), F.lit(_NOBODY)) == F.col("_doc"), "left").drop("_doc")
@@ -154,7 +154,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", short
     order = [c for c in joined.columns if c not in ("_text", "_gone")]
     schema = joined.select(*order, "_text").schema
     cleaned = joined.select(*order, "_text", "_gone").mapInArrow(_cleaned, schema)
-    return cleaned.withColumnRenamed("_text", text).select(*docs.columns)
+    left = cleaned.withColumnRenamed("_text", text)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns if c in left.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
