@@ -4,6 +4,9 @@ A host's failures are counted over all its documents. Its failure rate is shrunk
 towards the rate of all hosts by a beta prior that is fitted to the hosts
 themselves (by moments), so that a host of few documents isn't condemned by them.
 The verdict on each host is joined back to its documents. DataFrame functions only.
+
+``ruled`` counts base failures alone, as the query's SQL does; ``weighed``, which the
+pipeline uses, adds rules of symbols, repeated lines and lengths of words.
 """
 
 from __future__ import annotations
@@ -16,6 +19,15 @@ from .common import cut, let, without, words
 NEAR = 8
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
+#: Symbols for each word above which a text fails.
+SYMBOLS = 0.1
+#: Share of repeated lines above which a text fails, and repeated lines below which it doesn't: one of three lines says nothing.
+DUP_LINES, FEW_LINES = 0.3, 3
+#: Bounds of the mean length of a text's words.
+WORD_LENGTH = (3.0, 10.0)
+#: How far a host's rate can tighten or widen these bounds.
+LENIENCE = (0.5, 2.0)
+
 
 def _repeated(tokens: Column) -> Column:
     """Words that lie in a window of NEAR words found twice or more in the text."""
@@ -47,7 +59,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the METRICS of its whole texts; a null text counts as an empty one.
 
     Windows are compared by a 64-bit hash of their words. Columns of these names
-    are replaced; one named _m goes.
+    are replaced, as is n_lines (lines with a word); one named _m goes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     blank = r"^[\x20\x09-\x0D]*$"
@@ -57,15 +69,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(blank))
     symbols = F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", ""))
-    out = without(docs, *METRICS, "_m").withColumn("_m", let(words(F.col(text)), counts))
-    out = out.withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = out.withColumn("n_symbols", symbols.cast("long")).withColumns({k: F.col(f"_m.{k}") for k in ("n_words", "word_chars", "n_repeat_words")})
+    out = without(docs, *METRICS, "n_lines", "_m").withColumn("_m", let(words(F.col(text)), counts))
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    out = out.withColumns({k: F.col(f"_m.{k}") for k in ("n_words", "word_chars", "n_repeat_words")})
+    out = out.withColumn("_m", let(lines, of_lines)).withColumns({k: F.col(f"_m.{k}") for k in ("n_lines", "n_dup_lines")})
+    out = out.withColumn("n_symbols", symbols.cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("_m")
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_failed", most: float = 0.5) -> DataFrame:
-    """For each host: documents, failures, shrunk rate, and whether it is rejected.
+    """For each host: documents, failures, shrunk rate, whether it is rejected, and the mean rate of all.
 
     The prior has the hosts' overall rate as its mean; its strength is what leaves,
     of the spread of the hosts' rates, the part that chance alone doesn't explain.
@@ -82,7 +96,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
         excess = (spread - within * total["k"] / n) / max(1e-12, 1 - total["nn"] / n / n) if total["k"] > 1 else 0.0
         strength = min(1e6, max(1.0, within / excess - 1)) if excess > 0 else 1e6
     shrunk = (F.col("failures") + mean * strength) / (F.col("n") + strength)
-    return hosts.withColumn("rate", shrunk).withColumn("rejected", F.col("rate") > most)
+    return hosts.withColumn("rate", shrunk).withColumn("rejected", F.col("rate") > most).withColumn("mean", F.lit(float(mean)))
 
 
 def ruled(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5, judged: DataFrame | None = None) -> DataFrame:
@@ -99,6 +113,34 @@ def ruled(docs: DataFrame, text: str = "text", host: str = "source", most: float
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("_rejected", F.lit(False))).drop("_host", "_rejected")
 
 
+def exceeds(lenience: Column | float = 1.0) -> Column:
+    """Whether a measured text fails the rules of symbols, repeated lines or lengths of words, their bounds ``lenience`` times as wide."""
+    wide = lenience if isinstance(lenience, Column) else F.lit(lenience)
+    least, most = WORD_LENGTH
+    symbols = F.col("n_symbols") > SYMBOLS * wide * F.col("n_words")
+    lines = (F.col("n_dup_lines") >= FEW_LINES) & (F.col("n_dup_lines") > F.least(DUP_LINES * wide, F.lit(1.0)) * F.col("n_lines"))
+    lengths = (F.col("word_chars") * wide < least * F.col("n_words")) | (F.col("word_chars") > most * wide * F.col("n_words"))
+    return symbols | lines | lengths
+
+
+def weighed(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5) -> DataFrame:
+    """``docs`` with METRICS, n_lines, ``host_rate`` (of failures of any rule) and ``kept``.
+
+    A document is kept if its host isn't rejected, it passes its base rules, and it
+    stays within the other bounds as its host's rate widens or tightens them: by the
+    mean rate of all hosts over the host's own, within LENIENCE. Without a host they
+    hold as they are. Empty tables give empty results; repeated rows are rows of
+    their own.
+    """
+    rows = measured(docs, text)
+    verdicts = host_verdicts(rows.withColumn("_failed", F.col("base_failed") | exceeds()), host, "_failed", most)
+    lenience = F.greatest(F.lit(LENIENCE[0]), F.least(F.lit(LENIENCE[1]), F.col("mean") / F.col("rate")))
+    verdicts = verdicts.select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("_rejected"), F.when(F.col("rate") > 0, lenience).otherwise(1.0).alias("_wide"))
+    out = without(rows, "host_rate", "kept", "_host", "_rejected", "_wide").join(verdicts, F.col(host) == F.col("_host"), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("_rejected", F.lit(False)) & ~exceeds(F.coalesce("_wide", F.lit(1.0)))
+    return out.withColumn("kept", kept).drop("_host", "_rejected", "_wide")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     judged = cut(measured(docs).select("doc_id", "source", *METRICS))
@@ -106,8 +148,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass."""
-    return ruled(docs).where("kept").select(*docs.columns)
+    """The documents that pass all rules."""
+    return weighed(docs).where("kept").select(*docs.columns)
 
 
 #: The same, window by window.

@@ -87,3 +87,33 @@ def test_hosts(spark, documents):
     assert 0 < got[300].host_rate < 1
     assert op05_quality.ruled(documents([])).count() == 0
     assert op05_quality.stage(spark, documents(rows), "").columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_rules_beyond_the_base(spark, documents):
+    good = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    symbols = lambda k: " ".join(f"word{k}x{i}" + "$" * (i % 4 == 0) for i in range(40))
+    few = lambda k: " ".join(f"word{k}x{i}" + "$" * (i % 7 == 0) for i in range(42))
+    lines = "\n".join(["the same line"] * 5 + [f"line {i} has words{i} unlike{i} others{i}" for i in range(8)])
+    one_of_three = f"the same line\n{good(1)}\nthe same line"
+    rows = [(i, symbols(i) if i < 2 else few(i) if i < 4 else good(i), "clean") for i in range(100)]
+    rows += [(100 + i, symbols(i) if i < 40 else good(i), "mixed") for i in range(100)]
+    rows += [(200 + i, symbols(i) if i < 80 else good(i), "junk") for i in range(100)]
+    rows += [(300, lines, None), (301, one_of_three, None), (302, " ".join("abcdefghijklmnopqrstuvwxyz"), None), (303, " ".join(f"{i:012d}" for i in range(30)), None), (304, symbols(7), None), (305, few(7), None), (306, good(5), None)]
+    got = {r.doc_id: r for r in op05_quality.weighed(documents(rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [k for k in range(300, 307) if got[k].kept] == [301, 306]
+    assert not any(got[200 + i].kept for i in range(100))  # by their host's failures of these rules
+    assert not any(got[100 + i].kept for i in range(40)) and all(got[100 + i].kept for i in range(40, 100))
+    assert got[2].kept and got[3].kept and not got[0].kept  # a clean host's bounds are wider
+    stage = {r.doc_id for r in op05_quality.stage(spark, documents(rows), "").collect()}
+    assert stage == {k for k, r in got.items() if r.kept}
+    assert op05_quality.weighed(documents([])).count() == 0
+
+
+def test_symbols_in_the_table(spark):
+    """All labelled bad documents of symbols go, no labelled good one does."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    got = op05_quality.weighed(docs).join(labels, "doc_id").where(~F.col("base_failed"))
+    assert got.where("quality = 0 and n_symbols > 0.1 * n_words and kept").count() == 0
+    assert got.where("quality = 1 and not kept").count() == 0
