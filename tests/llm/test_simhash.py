@@ -78,3 +78,40 @@ def test_documents(spark, odd, documents):
     docs = documents([(9, text, "a"), (3, text, "b"), (4, text + " end", "b"), (5, "other words here", None), (None, "null id", None), (None, "second null id text", None)])
     kept = op02_simhash.stage(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in kept) == ["3", "5", "None", "None"] and kept[0].asDict().keys() == set(docs.columns)
+
+
+def test_stage_links_similar_texts(spark):
+    """Of any two documents left, none have 5-word Jaccard similarity of 0.8 or more; clean ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def grams(text):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    def pairs(rows):
+        sets = [(r.doc_id, grams(r.text)) for r in rows]
+        for i, (j, x) in enumerate(sets):
+            for k, y in sets[:i]:
+                n = len(x & y)
+                if n and 5 * n >= 4 * len(x | y):
+                    yield j, k
+
+    rows = docs.collect()
+    kept = op02_simhash.stage(spark, docs, "").collect()
+    alike = {k for p in pairs(rows) for k in p}
+    near = {r.doc_id: r.component_id for r in op02_simhash.near_duplicates(docs).collect()}
+    assert any(near[j] != near[k] for j, k in pairs(rows))  # 3 bits don't reach them
+    assert not list(pairs(kept))
+    sizes = {c: sum(x == c for x in near.values()) for c in near.values()}
+    lone = {k for k, c in near.items() if sizes[c] == 1} - alike
+    assert lone <= {r.doc_id for r in kept}
+
+
+def test_similar_texts_of_a_large_bucket(spark, documents):
+    """Texts that resemble each other but not the one that all are compared with first."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    # Each text drifts from the one before it: neighbours have 0.89, the first and the sixth less than 0.8.
+    rows = [(i, " ".join(words[17 * i : 17 * i + 300]), "s") for i in range(30)]
+    kept = op02_simhash.stage(spark, documents(rows), "").collect()
+    assert [r.doc_id for r in kept] == [0]
