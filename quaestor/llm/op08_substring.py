@@ -2,7 +2,10 @@
 
 A gear hash rolls over the bytes before each word; where it is small, a chunk ends.
 Cuts so depend on the 16 bytes before them alone, and an insertion moves no cut
-but those next to it. A chunk belongs to the document with the smallest id that
+but those next to it. Where no blank stands among the 64 bytes before, as in Chinese
+or in code without spaces, the same hash ends chunks between characters, more rarely;
+such cuts depend on those 64 bytes. Only what has no such place for 512 bytes, as
+periodic text may, is cut by length, counted from the cut before. A chunk belongs to the document with the smallest id that
 has it (told by a 96-bit digest); in every other document it is a repeat, and
 neighbouring repeats that together are long enough form a span. A short chunk may be
 met anywhere by chance: a span's ends are chunks of some length, such as have a
@@ -25,6 +28,10 @@ from .common import cut, let, small_batches, texts_of, without
 WORDS = 4
 #: Bytes of the gear hash's window, a power of 2.
 WINDOW = 16
+#: Bytes without a blank after which chunks end between characters too.
+BARE = 64
+#: One byte in so many can end a chunk there, if none of the WINDOW bytes before it can.
+BYTES = 16
 #: A chunk is cut at so many bytes at the latest.
 LONGEST = 512
 #: Bytes of the shortest span.
@@ -38,14 +45,32 @@ def _gear() -> np.ndarray:
     return np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+def _inside(part: np.ndarray, rolled: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Cuts from ``a`` up to below ``b`` in a stretch without blanks; the bytes before ``a`` that they depend on are in ``part``."""
+    if a >= b:
+        return np.zeros(0, np.int64)
+    low = max(0, a - 4 - WINDOW)
+    hit = rolled[low:b] < (1 << 32) // BYTES
+    count = np.concatenate([[0], np.cumsum(hit)])
+    at = np.arange(len(hit))
+    hit &= count[:-1] == count[np.maximum(at - WINDOW, 0)]
+    inner = part[low:b] & 0xC0 == 0x80  # bytes inside a character
+    ends = hit[a - 1 - low : b - 1 - low].copy()
+    run = inner[a - 1 - low : b - 1 - low].copy()
+    for k in (2, 3, 4):  # the last character's other bytes
+        ends |= run & hit[a - k - low : b - k - low]
+        run &= inner[a - k - low : b - k - low]
+    return np.flatnonzero(ends & ~inner[a - low : b - low]) + a
+
+
 def cuts(data: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Where the chunks of a text begin and end: 0, the cuts, its length."""
     n = len(data)
     blank = np.zeros(256, bool)
     blank[[9, 10, 11, 12, 13, 32]] = True
-    found, gear = [np.zeros(1, np.int64)], _gear()
+    found, gear, last = [np.zeros(1, np.int64)], _gear(), -1
     for a in range(0, n, 1 << 18):
-        low = max(0, a - WINDOW)
+        low = max(0, a - 3 * WINDOW)
         part = data[low : a + (1 << 18)]
         rolled, width = gear[part], 1
         while width < WINDOW:
@@ -54,6 +79,12 @@ def cuts(data: np.ndarray, words: int = WORDS) -> np.ndarray:
         empty = blank[part]
         at = np.flatnonzero(empty[:-1] & ~empty[1:] & (rolled[:-1] < (1 << 32) // words)) + 1 + low
         found.append(at[at >= max(a, 1)])
+        blanks = np.flatnonzero(empty[a - low :]) + a
+        marks = np.concatenate([[last], blanks, [low + len(part)]])
+        bare = [_inside(part, rolled, max(int(marks[g]) + 1 + BARE, a) - low, int(marks[g + 1]) - low) + low for g in np.flatnonzero(np.diff(marks) > BARE).tolist()]
+        if bare:
+            found[-1] = np.union1d(found[-1], np.concatenate(bare))
+        last = int(blanks[-1]) if len(blanks) else last
     edges = np.concatenate([*found, [n]])
     for i in np.flatnonzero(np.diff(edges) > LONGEST)[::-1].tolist():
         more, at = [], int(edges[i])

@@ -91,3 +91,37 @@ def test_planted_passages(spark, documents, odd):
     assert all(len(left[i]) < len(texts[i]) - 100 for i in range(101, 130))
     assert D.deduplicated(odd).count() == 9 and D.spans(documents([])).count() == 0
     assert {r.doc for r in D.spans(odd).collect()} == set()
+
+
+def test_cuts_without_blanks():
+    rng = random.Random(7)
+    kinds = {
+        "chinese": lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)),
+        "code": lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz(){};=.,0123456789") for _ in range(n)),
+        "spaced": lambda n: "".join(rng.choice("abcdefghij\u00a0\u3000") for _ in range(n)),
+        "emoji": lambda n: "".join(chr(rng.randint(0x1F300, 0x1F5FF)) for _ in range(n)),
+    }
+    for make in kinds.values():
+        data = make(150000)  # some of it lies across blocks
+        edges = D.cuts(np.frombuffer(data.encode(), np.uint8)).tolist()
+        whole = data.encode()
+        assert all(whole[a:b].decode() for a, b in zip(edges, edges[1:], strict=False))
+        assert 30 < np.mean(np.diff(edges)) < 90 and max(np.diff(edges)) <= D.LONGEST + 3
+        for more in ("x", make(1), make(333)):
+            moved = D.cuts(np.frombuffer((more + data).encode(), np.uint8)) - len(more.encode())
+            late = [e for e in edges if e > 1500]
+            assert len(set(late) - set(moved.tolist())) <= len(late) // 500
+
+
+def test_moved_passage_without_blanks(spark, documents):
+    rng = random.Random(8)
+    text = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    passage, clean = text(500), [text(900) for _ in range(5)]
+    rows = [(i, t, "s") for i, t in enumerate(clean)]
+    rows += [(10 + i, text(200 + i) + passage + text(100 + 7 * i), "s") for i in range(6)]
+    found = {r.doc: r for r in D.spans(documents(rows)).collect()}
+    assert set(found) == set(range(11, 16))
+    texts = {k: t for k, t, _ in rows}
+    for k, r in found.items():
+        cut = texts[k].encode()[r.start : r.end].decode()
+        assert cut in passage and len(cut) > 350 and r.first_docs == [10]
