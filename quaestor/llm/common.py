@@ -56,6 +56,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
 
 
+def boxed(df: DataFrame, **named: Column) -> DataFrame:
+    """The columns ``named`` beside ``row``, a struct of all that ``df`` has: none of its names can clash with another."""
+    return df.select(*[c.alias(k) for k, c in named.items()], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame, like: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of ``like`` out of ``row``, some of them given anew."""
+    return df.select(*[instead.get(c, F.col("row")[c]).alias(c) for c in like.columns])
+
+
 def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """Adds, under each name, the sum of a column over all rows that sort earlier.
 

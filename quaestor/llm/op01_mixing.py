@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, running, without
+from .common import WORD, boxed, cut, running, unboxed, without
 
 #: Documents folded in one group.
 BUCKET = 64
@@ -142,7 +142,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` mixed to the weights: a document stands there as often as the mix takes it."""
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    mixed = mix(sized, size="_words").where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    """``docs`` mixed to the weights: a document stands there as often as the mix takes it, its columns unchanged, whatever their names.
+
+    Null keys and sources are values like any other; texts without words are taken
+    by no mix; rows that agree in id, source and size share one draw. An empty
+    table gives an empty result.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    mixed = mix(boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size)).where("copies > 0")
+    return unboxed(mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))), docs)

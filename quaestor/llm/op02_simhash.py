@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, texts_of
+from .common import boxed, components, cut, small_batches, texts_of, unboxed
 
 SHINGLE = 3
 RADIUS = 3
@@ -302,7 +302,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest doc_id (null last), of several the one with the smallest fingerprint and text hash.
 
     Components are those of fingerprints within RADIUS bits and of texts with
-    similar sets of WIDE-word shingles.
+    similar sets of WIDE-word shingles. Texts without words, null ones too, have
+    fingerprint 0 and no shingles. Of rows that agree in id and text one stays. All
+    columns come through unchanged, whatever their names; an empty table gives an
+    empty result.
     """
     hashed = F.xxhash64("text")
     small_batches(spark)
@@ -312,6 +315,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = _named(prints.select("doc_id", "fp"), similar(docs, prints.where("n > 0").select("fp", "h", "n", "bands"), near))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")
     first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("_first"))
-    kept = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.h").alias("_h"))
-    whole = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_h")))
-    return whole.dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    kept = first.select(F.col("_first.doc_id").alias("id"), F.col("_first.h").alias("th"))
+    rows = boxed(docs, doc_id=F.col("doc_id"), h=hashed)
+    whole = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")))
+    return unboxed(whole.dropDuplicates(["id", "th"]), docs)

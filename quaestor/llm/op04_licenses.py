@@ -15,26 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
+from .licenses import TEMPLATES
 
 SHINGLE = 5
 CONTAINED = 0.8
 BANDS = 32
 
-# Notices of well-known licenses.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit-line": "Released under the MIT License.",
-    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-}
-
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -54,51 +40,63 @@ def _minimum(shingles: Column, band: Column) -> Column:
     return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, band)))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame) -> DataFrame:
     """license, words, hashes, width (of its windows) and, for each band, minimum and the shingle that gives it."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", tokens(F.col("text")).alias("words"))
+    given = templates if isinstance(templates, DataFrame) else spark.createDataFrame(sorted(templates.items()), "license string, text string")
+    rows = given.where("license is not null").select("license", tokens(F.col("text")).alias("words"))
     rows = rows.where(F.size("words") > 0).withColumn("hashes", F.array_distinct(_hashes(F.col("words")))).withColumn("width", F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes") * 2))).cast("int"))
     least = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("band"), F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, j).alias("minimum"), h.alias("shingle")))).alias("least"))))
     return rows.select("license", "words", "hashes", "width", least.alias("b")).select("license", "words", "hashes", "width", "b.band", "b.least.minimum", "b.least.shingle")
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", least: float = CONTAINED) -> DataFrame:
+def scanned(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, key: str = "doc_id", text: str = "text", least: float = CONTAINED) -> DataFrame:
     """(doc_id, license, containment, n_windows, first_word): the templates found in whole texts.
 
     containment is the largest share of a template's distinct shingles in one
-    window; first_word is where the first such window begins. Rows that share a key
+    window; first_word is where the first such window begins. Of licenses whose notices
+    resemble each other all are reported. Rows that share a key
     are reported together; empty and null texts and tables give no rows; other
-    columns aren't looked at. Templates are given as a dict, so their tables are as
-    small as it is, and are sent to all tasks.
+    columns aren't looked at. Templates are a dict or a table (license, text), each
+    license once, of some thousands at most, as they are sent to all tasks. A window
+    takes along its own words alone, so the work grows with a text's length, however
+    many notices it holds.
     """
     spark = docs.sparkSession
     table = template_table(spark, TEMPLATES if templates is None else templates)
-    bands = table.select("license", "width", "band", "minimum").collect()
-    wanted = [r["shingle"] for r in table.select("shingle").distinct().collect()]
+    bands = table.select("license", "width", "band", "minimum", "shingle").collect()
+    wanted, minima = (sorted({r[c] for r in bands}) for c in ("shingle", "minimum"))
     widths = sorted({r["width"] for r in bands})
     if not bands:
         return docs.select(F.col(key).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).alias("first_word")).limit(0)
 
     def hit_places(words: Column) -> Column:
         found = lambda h: F.filter(F.transform(h, lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
-        return let(_hashes(words), lambda h: F.struct(words.alias("words"), h.alias("h"), found(h).alias("at")))
+        return let(_hashes(words), lambda h: F.struct(words.alias("words"), h.alias("h"), found(h).alias("at"), F.xxhash64(h).alias("text")))
 
     hits = docs.select(F.col(key).alias("doc_id"), let(tokens(F.col(text)), hit_places).alias("s")).where(F.size("s.at") > 0)
-    # Of each width, the two windows that hold a place; a text's first window starts at 0.
+
     def begin(w: int, back: int):
         half = w // 2
-        return lambda p: F.struct(F.lit(w).alias("width"), F.greatest(F.floor(p / half).cast("int") * half - back * half, F.lit(0)).alias("start"))
+        # One long for width and start: an array of longs is made distinct by hashing.
+        return lambda p: F.greatest(F.floor(p / half) * half - back * half, F.lit(0)).bitwiseOR(F.lit(w << 32))
 
+    def window(w: Column) -> Column:
+        width, start = F.shiftright(w, 32).cast("int"), w.bitwiseAND(0x7FFFFFFF).cast("int")
+        return F.struct(width.alias("width"), start.alias("start"), F.slice("s.words", start + 1, width + SHINGLE - 1).alias("words"), F.slice("s.h", start + 1, width).alias("h"))
+
+    # Of each width, the two windows that hold a place; a text's first window starts at 0.
     around = [F.transform("s.at", begin(w, back)) for w in widths for back in (0, 1)]
-    windows = hits.select("doc_id", "s.words", "s.h", F.explode(F.array_distinct(F.concat(*around))).alias("w")).select("doc_id", "words", "w.width", "w.start", F.slice("h", F.col("w.start") + 1, F.col("w.width")).alias("h"))
-    signed = windows.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: _minimum(F.col("h"), j))).alias("band", "minimum"))
+    windows = hits.select("doc_id", "s.text", F.explode(F.transform(F.array_distinct(F.concat(*around)), window)).alias("w")).select("doc_id", "text", "w.*")
+    signature = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("band"), _minimum(F.col("h"), j).alias("minimum")))
+    # Only a minimum that some template has can retrieve it.
+    signed = windows.select("doc_id", "text", "width", "start", "words", F.explode(F.filter(signature, lambda b: b["minimum"].isin(minima))).alias("b")).select("doc_id", "text", "width", "start", "words", "b.*")
     retrieved = signed.join(F.broadcast(table.select("license", "width", "band", "minimum")), ["width", "band", "minimum"])
     # A window's candidates, each once, before the exact test.
     shingles = F.broadcast(table.select("license", F.col("words").alias("_t")).distinct())
-    spelled = lambda words, a, n: F.transform(F.slice(_starts(words), a + 1, n), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
-    tested = retrieved.groupBy("doc_id", "license", "width", "start", F.xxhash64("words").alias("_text")).agg(F.first("words").alias("words")).join(shingles, "license")
-    own = F.array_distinct(spelled(F.col("_t"), F.lit(0), F.size("_t")))
-    share = let(own, lambda t: F.size(F.array_intersect(t, spelled(F.col("words"), F.col("start"), F.col("width")))) / F.size(t))
+    spelled = lambda words: F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+    tested = retrieved.groupBy("doc_id", "license", "width", "start", "text").agg(F.first("words").alias("words")).join(shingles, "license")
+    own = F.array_distinct(spelled(F.col("_t")))
+    share = let(own, lambda t: F.size(F.array_intersect(t, spelled(F.col("words")))) / F.size(t))
     good = tested.withColumn("containment", share).where(F.col("containment") >= least)
     return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("start").alias("first_word"))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, without, words
+from .common import boxed, cut, let, unboxed, without, words
 
 NEAR = 8
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -62,12 +62,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     are replaced, as is n_lines (lines with a word); one named _m goes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    blank = r"^[\x20\x09-\x0D]*$"
 
     def counts(tokens: Column) -> Column:
         return F.struct(F.size(tokens).cast("long").alias("n_words"), F.length(F.array_join(tokens, "")).cast("long").alias("word_chars"), _repeated(tokens).cast("long").alias("n_repeat_words"))
 
-    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(blank))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", ""))
     out = without(docs, *METRICS, "n_lines", "_m").withColumn("_m", let(words(F.col(text)), counts))
     of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
@@ -123,16 +122,16 @@ def exceeds(lenience: Column | float = 1.0) -> Column:
     return symbols | lines | lengths
 
 
-def weighed(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5) -> DataFrame:
+def weighed(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5, judged: DataFrame | None = None) -> DataFrame:
     """``docs`` with METRICS, n_lines, ``host_rate`` (of failures of any rule) and ``kept``.
 
     A document is kept if its host isn't rejected, it passes its base rules, and it
     stays within the other bounds as its host's rate widens or tightens them: by the
     mean rate of all hosts over the host's own, within LENIENCE. Without a host they
     hold as they are. Empty tables give empty results; repeated rows are rows of
-    their own.
+    their own. ``judged`` may hold ``measured(docs)`` where that has been kept already.
     """
-    rows = measured(docs, text)
+    rows = judged if judged is not None else measured(docs, text)
     verdicts = host_verdicts(rows.withColumn("_failed", F.col("base_failed") | exceeds()), host, "_failed", most)
     lenience = F.greatest(F.lit(LENIENCE[0]), F.least(F.lit(LENIENCE[1]), F.col("mean") / F.col("rate")))
     verdicts = verdicts.select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("_rejected"), F.when(F.col("rate") > 0, lenience).otherwise(1.0).alias("_wide"))
@@ -148,8 +147,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass all rules."""
-    return weighed(docs).where("kept").select(*docs.columns)
+    """The documents that pass all rules, their columns unchanged, whatever their names.
+
+    Texts are measured once. Null and empty texts fail; a null source is no host;
+    repeated rows are judged alike; an empty table gives an empty result.
+    """
+    judged = cut(measured(boxed(docs, text=F.col("text"), source=F.col("source"))).drop("text"))
+    return unboxed(weighed(judged, judged=judged).where("kept"), docs)
 
 
 #: The same, window by window.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import Lookup, cut, let, small_batches, without
+from .common import Lookup, boxed, cut, let, small_batches, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -177,7 +177,9 @@ def lattice(segments: DataFrame, model: Model) -> DataFrame:
     table = spark.createDataFrame(pa.table({"piece": list(model.pieces), "id": pa.array([i for i, _ in model.pieces.values()], pa.int64()), "score": [s for _, s in model.pieces.values()], "rank": pa.array([ranks[s] for _, s in model.pieces.values()], pa.int64())}))
     longest = max(map(len, model.pieces))
     # Dealt by segment before the explosion, the edges of a segment are together already.
-    starts = segments.repartition("seg").select("seg", F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("start"))
+    # Their number is given: the lattice is far larger than the segments by which partitions would be put together.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = segments.repartition(parts, "seg").select("seg", F.explode(F.sequence(F.lit(0), F.length("seg") - 1)).alias("start"))
     spans = starts.select("seg", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg") - F.col("start")))).alias("size"))
     named = spans.select("seg", "start", "size", F.substring("seg", F.col("start") + 1, F.col("size")).alias("piece"))
     # The table of pieces is one model's vocabulary, whatever the size of the texts.
@@ -258,8 +260,8 @@ def folded(lattices: DataFrame, model: Model) -> DataFrame:
 def encoded(docs: DataFrame, model: Model, text: str = "text", held: int = HELD) -> DataFrame:
     """``docs`` with ``ids``, the whole texts' pieces, as the SentencePiece library gives them.
 
-    Empty and null texts have no ids. Repeated rows stay; a column ids is replaced;
-    an empty table gives an empty result. The table of segments is shared as far as
+    Empty and null texts have no ids. Repeated rows stay; a column ids is replaced,
+    all others stay, whatever their names; an empty table gives an empty result. The table of segments is shared as far as
     ``held`` segments; the least count that keeps within it is chosen from the
     numbers of segments by power of 2 of their counts; it is 2 at least. Segments are looked up by
     their XXH64.
@@ -294,7 +296,7 @@ def encoded(docs: DataFrame, model: Model, text: str = "text", held: int = HELD)
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                texts = [model.segments(x) for x in part.column("_text").to_pylist()]
+                texts = [model.segments(x) for x in part.column("text").to_pylist()]
                 if len(known) > FLUSH:
                     known.clear()
                 new = list({s for t in texts for s in t}.difference(known))
@@ -305,12 +307,13 @@ def encoded(docs: DataFrame, model: Model, text: str = "text", held: int = HELD)
                 rows = [b"".join([known[s] for s in t]) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-                yield part.append_column("ids", column)
+                yield pa.RecordBatch.from_arrays([part.column("row"), column], names=["row", "ids"])
 
     small_batches(spark)
-    rows = without(docs, "ids", "_text").withColumn("_text", F.col(text).cast("string"))
-    schema = rows.withColumn("ids", F.array(F.lit(0))).schema
-    return rows.mapInArrow(encode, schema).drop("_text")
+    rest = without(docs, "ids")
+    rows = boxed(rest, text=F.col(f"`{text}`").cast("string"))
+    found = rows.mapInArrow(encode, rows.select("row", F.array(F.lit(0)).alias("ids")).schema)
+    return found.select("row.*", "ids")
 
 
 def decoded(rows: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -332,5 +335,6 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids."""
-    return encoded(docs, Model.load(MODEL)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, lang, source, n_tokens, ids) of each document; those without text have no ids. An empty table gives an empty result, other columns go."""
+    named = docs.select("doc_id", "lang", "source", "text")
+    return encoded(named, Model.load(MODEL)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -5,11 +5,13 @@ Cuts so depend on the 16 bytes before them alone, and an insertion moves no cut
 but those next to it. Where no blank stands among the 64 bytes before, as in Chinese
 or in code without spaces, the same hash ends chunks between characters, more rarely;
 such cuts depend on those 64 bytes. Only what has no such place for 512 bytes, as
-periodic text may, is cut by length, counted from the cut before. A chunk belongs to the document with the smallest id that
-has it (told by a 96-bit digest); in every other document it is a repeat, and
-neighbouring repeats that together are long enough form a span. A short chunk may be
-met anywhere by chance: a span's ends are chunks of some length, such as have a
-neighbour from the same document, or the text's first and last.
+periodic text may, is cut by length, counted from the cut before. A chunk belongs to
+the document with the smallest id that has it (told by a 96-bit digest); in every
+other document it is a repeat, and neighbouring repeats that together are long enough
+form a span. A short chunk may be met anywhere by chance: a span's ends are chunks of
+some length, such as have a neighbour from the same document, or the text's first and
+last. Documents are told apart by id and text, so that a span is only ever cut out of
+the very text it was found in.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import cut, let, small_batches, texts_of, without
+from .common import cut, small_batches, texts_of, unboxed
 
 #: One word start in so many ends a chunk.
 WORDS = 4
@@ -38,7 +41,8 @@ LONGEST = 512
 SPAN = 100
 #: Bytes of a chunk that can end a span by itself.
 FIRM = 32
-_NOBODY = (1 << 63) - 1
+#: Documents without an id come after all with one below this, in an order that their texts give.
+NAMELESS = 1 << 62
 
 
 def _gear() -> np.ndarray:
@@ -111,61 +115,85 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at_end = np.arange(1, len(at)) == len(at) - 1
                 places.append(edges[:-1] << 32 | at_end.astype(np.int64) << 31 | edges[1:])
             whole = b"".join(digests)
-            ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
-            columns = [ids, pa.array(np.concatenate(places)), pa.array(np.frombuffer(whole, np.int64)[::2]), pa.array(np.frombuffer(whole, np.int32)[2::4])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "place", "d1", "d2"])
+            row = pa.array(np.repeat(np.arange(part.num_rows), counts))
+            columns = [part.column(0).take(row), part.column(2).take(row), pa.array(np.concatenate(places)), pa.array(np.frombuffer(whole, np.int64)[::2]), pa.array(np.frombuffer(whole, np.int32)[2::4])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "h", "place", "d1", "d2"])
+
+
+def _joined(shortest: int):
+    """Spans out of each text's repeated chunks, which come in order."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("c")
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            place, home = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            start, end, last = place >> 32, place & 0x7FFFFFFF, place >> 31 & 1 == 1
+            next_to = (end[:-1] == start[1:]) & (owner[:-1] == owner[1:])
+            kin = next_to & (home[:-1] == home[1:])
+            firm = (end - start >= FIRM) | (start == 0) | last
+            firm[:-1] |= kin
+            firm[1:] |= kin
+            run = np.concatenate([[0], np.cumsum(~next_to)])
+            # Each run from its first firm chunk to its last.
+            at = np.flatnonzero(firm)
+            _, first = np.unique(run[at], return_index=True)
+            a, b = at[first], at[np.append(first[1:], len(at)) - 1] if len(at) else at
+            long = end[b] - start[a] >= shortest
+            a, b = a[long], b[long]
+            homes = [np.unique(home[i : j + 1]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            rows = pa.array(owner[a])
+            columns = [batch.column("doc").take(rows), batch.column("h").take(rows), pa.array(start[a], pa.int32()), pa.array(end[b], pa.int32()), pa.array([x[x < NAMELESS] for x in homes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "h", "start", "end", "first_docs"])
+
+    return join
+
+
+def _identity(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
+    """``doc`` and ``h`` of each row: its id (of one that is no integer the XXH64) and its text's XXH64."""
+    id_, number = F.col(f"`{key}`"), isinstance(docs.schema[key].dataType, IntegralType)
+    return {"doc": id_.cast("long") if number else F.when(id_.isNotNull(), F.xxhash64(id_)), "h": F.xxhash64(F.col(f"`{text}`").cast("string"))}
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, place, d1, d2): every chunk of every whole text; place is where it begins and, in its low half, ends, with bit 31 set in a text's last."""
+    """(doc, h, place, d1, d2): every chunk of every whole text.
+
+    ``doc`` and ``h`` tell the row; place is where the chunk begins and, in its low
+    half, ends, with bit 31 set in a text's last. Null and empty texts and empty
+    tables have none; a repeated row gives its chunks again; other columns aren't
+    looked at.
+    """
     small_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NOBODY)).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_chunks, "doc long, place long, d1 long, d2 int")
+    at = _identity(docs, key, text)
+    rows = docs.select(at["doc"].alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), at["h"].alias("h"))
+    return rows.mapInArrow(_chunks, "doc long, h long, place long, d1 long, d2 int")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SPAN) -> DataFrame:
-    """(doc, start, end, first_docs): spans of bytes that stand in a document with a smaller id already.
-
-    first_docs lists those documents. Rows that share an id count as one document,
-    which doesn't repeat itself; all rows with a null id are one document, later
-    than all others. Empty and null texts have no chunks. An empty table gives an
-    empty result; other columns aren't looked at.
+    """(doc, h, start, end, first_docs): spans of bytes that stand in an earlier document already.
+
+    Documents come in the order of their ids, ids that are no integers in that of
+    their XXH64, which then stands for them; those without an id come last, in an
+    order that their texts give. first_docs lists the earlier documents that have an
+    id. ``h`` is the text's XXH64: spans are those of one text, not of one id. Rows
+    that agree in id and text are one document, and those that share an id alone
+    are none the earlier: neither repeats the other. Empty and null texts have no
+    chunks. An empty table gives an empty result; other columns aren't looked at.
     """
+    turn = F.coalesce("doc", F.shiftrightunsigned("h", 2).bitwiseOR(F.lit(NAMELESS)))
     every = chunks(docs, key, text)
     # Kept apart, the join deals both sides anew and can split a chunk that very many documents have.
-    homes = cut(every.groupBy("d1", "d2").agg(F.min("doc").alias("home"), F.max("doc").alias("last")).where("home < last").drop("last"))
-    repeats = every.join(homes.hint("shuffle_hash"), ["d1", "d2"]).where("doc > home")
-    item = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("end"), "home", (F.col("place").bitwiseAND(1 << 31) != 0).alias("last"))
-    joined = lambda s, x: F.when(
-        F.element_at(s, -1)["end"] == x["start"],
-        F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["start"].alias("start"), x["end"].alias("end")))),
-    ).otherwise(F.concat(s, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-    first = lambda c: F.array(F.struct(c[0]["start"].alias("start"), c[0]["end"].alias("end")))
-    runs = lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), first(c), joined)
-    by_doc = repeats.groupBy("doc").agg(F.array_sort(F.collect_set(item)).alias("c"))
-
-    def firm(c: Column) -> Column:
-        def next_to(x: Column, y: Column, gap: Column) -> Column:
-            return F.coalesce((y["home"] == x["home"]) & gap, F.lit(False))
-
-        def marked(x: Column, i: Column) -> Column:
-            before, after = F.get(c, i - 1), F.get(c, i + 1)
-            held = (x["end"] - x["start"] >= FIRM) | (x["start"] == 0) | x["last"] | next_to(x, before, before["end"] == x["start"]) | next_to(x, after, after["start"] == x["end"])
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["home"].alias("home"), held.alias("firm"))
-
-        return F.transform(c, marked)
-
-    long = by_doc.select("doc", let(F.col("c"), firm).alias("c"), F.explode(F.filter(let(F.col("c"), runs), lambda r: r["end"] - r["start"] >= shortest)).alias("r"))
-    inside = F.filter("c", lambda x: (x["start"] >= F.col("r.start")) & (x["end"] <= F.col("r.end")))
-    ends = F.filter("inside", lambda x: x["firm"])
-    trimmed = long.select("doc", inside.alias("inside")).select("doc", "inside", F.get(ends, F.lit(0))["start"].alias("start"), F.get(ends, F.size(ends) - 1)["end"].alias("end")).where(F.col("end") - F.col("start") >= shortest)
-    kept = F.filter("inside", lambda x: (x["start"] >= F.col("start")) & (x["end"] <= F.col("end")))
-    return trimmed.select("doc", "start", "end", F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["home"]))).alias("first_docs"))
+    homes = cut(every.groupBy("d1", "d2").agg(F.min(turn).alias("home"), F.max(turn).alias("last")).where("home < last").drop("last"))
+    repeats = every.join(homes.hint("shuffle_hash"), ["d1", "d2"]).where(turn > F.col("home"))
+    item = F.struct("place", "home")
+    by_doc = repeats.groupBy("doc", "h").agg(F.array_sort(F.collect_set(item)).alias("c"))
+    return by_doc.mapInArrow(_joined(shortest), "doc long, h long, start int, end int, first_docs array<long>")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, gone in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
             if gone:
                 data, kept, at = text.encode(), [], 0
                 for x in gone:
@@ -173,29 +201,34 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = x["end"]
                 text = b"".join([*kept, data[at:]]).decode()
             out.append(text)
-        yield batch.drop_columns(["_text", "_gone"]).append_column("_text", pa.array(out, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("row")], names=["text", "row"])
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SPAN) -> DataFrame:
-    """``docs`` with the spans of ``spans()`` cut out of their texts. Texts that lose all become empty; columns named _doc, _gone or _text go."""
-    found = spans(docs, key, text, shortest).groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    ided = without(docs, "_doc", "_gone", "_text").withColumnRenamed(text, "_text")
-    joined = ided.join(found, F.coalesce(F.col(key).cast("long"), F.lit(_NOBODY)) == F.col("_doc"), "left").drop("_doc")
+    """``docs`` with the spans of ``spans()`` cut out of their texts.
+
+    Texts that lose all become empty; null texts stay null and repeated rows stay,
+    each cut alike. Rows that share an id, or have none, are cut each by the spans of
+    its own text. All other columns stay as they are, whatever their names.
+    """
+    found = spans(docs, key, text, shortest).groupBy("doc", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    rest = docs.drop(text)
+    own = docs.select(*[c.alias(k) for k, c in _identity(docs, key, text).items()], F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"))
+    met = own.alias("a").join(found.alias("b"), F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.h") == F.col("b.h")), "left").select("text", "gone", "row")
     small_batches(docs.sparkSession)
-    order = [c for c in joined.columns if c not in ("_text", "_gone")]
-    schema = joined.select(*order, "_text").schema
-    cleaned = joined.select(*order, "_text", "_gone").mapInArrow(_cleaned, schema)
-    left = cleaned.withColumnRenamed("_text", text)
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns if c in left.columns])
+    return unboxed(met.mapInArrow(_cleaned, met.select("text", "row").schema), docs, **{text: F.col("text")})
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    unnamed = F.col("doc") == _NOBODY
-    return found.select(F.when(~unnamed, F.col("doc")).alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), (F.col("end") - F.col("start")).alias("n_bytes"), "first_docs")
+    return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), (F.col("end") - F.col("start")).alias("n_bytes"), "first_docs")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated passages, n_chars made to fit; those that lose all their words go."""
+    """The documents without their repeated passages, n_chars made to fit; those that lose all their words, or had none, go.
+
+    Odd rows are those of ``deduplicated``; columns beyond those of ``documents``
+    come through unchanged. An empty table gives an empty result.
+    """
     left = deduplicated(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

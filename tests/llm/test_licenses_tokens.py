@@ -1,4 +1,5 @@
 import base64
+import time
 
 import duckdb
 import pytest
@@ -20,11 +21,30 @@ def test_planted_notices(spark, documents, odd):
     filler = " ".join(f"filler{i}" for i in range(500))
     docs = documents([(10, f"{filler} {mit} {filler}", None), (11, near.upper(), "s"), (12, half, "s"), (13, L.TEMPLATES["cc-by-nc-4.0-line"], "s"), (14, "Licensed under CC", "s")])
     got = found(L.scanned(docs.unionByName(odd)))
-    assert set(got) == {(10, "mit"), (11, "gpl-3.0"), (13, "cc-by-nc-4.0-line")}
+    assert set(got) == {(10, "mit"), (10, "mit-grant"), (11, "gpl-3.0"), (11, "gpl-2.0"), (13, "cc-by-nc-4.0-line")}
+    assert got[11, "gpl-2.0"].containment < got[11, "gpl-3.0"].containment
     assert got[10, "mit"].containment == 1.0 and 0.8 <= got[11, "gpl-3.0"].containment < 1
     assert L.scanned(documents([])).count() == 0 and L.scanned(docs, templates={}).count() == 0
 
 
+def test_every_template_is_found(spark, documents):
+    docs = documents([(i, f"some words before {t} and after", "s") for i, t in enumerate(L.TEMPLATES.values())])
+    got = found(L.scanned(docs))
+    assert all(got[i, k].containment == 1.0 for i, k in enumerate(L.TEMPLATES))
+    table = spark.createDataFrame([("own", "every word of this notice has to be there"), (None, "x"), ("none", None)], "license string, text string")
+    assert set(found(L.scanned(documents([(1, "a b EVERY word of this notice has to be there c", "s")]), table))) == {(1, "own")}
+
+
+def test_long_text_of_notices(spark, documents):
+    """50,000 words of notices: the work grows with the length."""
+    line = L.TEMPLATES["mit-line"]
+    docs = documents([(1, " ".join([line] * 10000), "s"), (2, " ".join(list(L.TEMPLATES.values()) * 15), "s")])
+    began = time.time()
+    got = found(L.scanned(docs))
+    assert time.time() - began < 45
+    assert (1, "mit-line") in got and {k for i, k in got if i == 2} == set(L.TEMPLATES)
+
+
 def test_sql(spark, tmp_path, documents):
     words = "released under the mit license version of and to a".split()
     texts = [" ".join(words[(i * j) % (7 + j % 3)] for j in range(i % 40)) for i in range(150)] + [v for v in L.TEMPLATES.values()]

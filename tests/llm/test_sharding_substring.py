@@ -80,11 +80,11 @@ def test_planted_passages(spark, documents, odd):
     rows += [(100 + i, f"{text(80)} {passage} {text(90)}", None) for i in range(30)] + [(200, clean[5], "s"), (None, clean[6], "s")]
     found = D.spans(documents(rows)).collect()
     by = {r.doc: r for r in found}
-    assert {r.doc for r in found} == {*range(101, 130), 200, D._NOBODY}
+    assert {r.doc for r in found} == {*range(101, 130), 200, None}
     assert 5 in by[200].first_docs and by[200].start == 0 and by[200].end == len(clean[5])
     texts = {k: t for k, t, _ in rows}
     for r in found:
-        if 100 < r.doc < 200:
+        if r.doc and 100 < r.doc < 200:
             assert texts[r.doc].encode()[r.start : r.end].decode().strip() in passage and 100 in r.first_docs
     left = {r.doc_id: r.text for r in D.deduplicated(documents(rows).withColumn("_gone", F.lit(1))).collect()}
     assert left[100] == texts[100] and all(left[i] == clean[i] for i in range(40)) and left[200] == "" and left[None] == ""
@@ -125,3 +125,78 @@ def test_moved_passage_without_blanks(spark, documents):
     for k, r in found.items():
         cut = texts[k].encode()[r.start : r.end].decode()
         assert cut in passage and len(cut) > 350 and r.first_docs == [10]
+
+
+def spans_by_brute_force(rows, shortest=D.SPAN):
+    """{(id, text): [(start, end)]} from the chunks of every text, one at a time."""
+    spark_hash = {}
+    for k, t, h in rows:
+        spark_hash[k, t] = h
+    turn = lambda k, t: k if k is not None else (spark_hash[k, t] % 2**64 >> 2) | D.NAMELESS
+    made, home = {}, {}
+    for k, t in spark_hash:
+        data = (t or "").encode()
+        edges = D.cuts(np.frombuffer(data, np.uint8)).tolist() if data else [0]
+        made[k, t] = [(a, b, data[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        for _, _, c in made[k, t]:
+            home[c] = min(home.get(c, 2**63), turn(k, t))
+    out = {}
+    for (k, t), cs in made.items():
+        runs, n = [[]], len((t or "").encode())
+        for a, b, c in cs:
+            if home[c] < turn(k, t):
+                runs[-1].append((a, b, home[c]))
+            elif runs[-1]:
+                runs.append([])
+        for run in runs:
+            firm = [i for i, (a, b, h) in enumerate(run) if b - a >= D.FIRM or a == 0 or b == n or (i and run[i - 1][2] == h) or (i + 1 < len(run) and run[i + 1][2] == h)]
+            if firm and run[firm[-1]][1] - run[firm[0]][0] >= shortest:
+                out.setdefault((k, t), []).append((run[firm[0]][0], run[firm[-1]][1]))
+    return out
+
+
+def test_spans_by_brute_force(spark, documents):
+    """Shared ids, null ids, several scripts: each text is cut by its own spans alone."""
+    rng = random.Random(12)
+    kinds = [lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))), lambda: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(rng.randint(1, 12))), lambda: rng.choice("éüñø") * rng.randint(1, 3) + rng.choice("xyz")]
+    text = lambda n, k: " ".join(kinds[k]() for _ in range(n))
+    passages = [text(40, k % 3) for k in range(6)]
+    rows = []
+    for i in range(90):
+        parts = [text(rng.randint(1, 60), i % 3) for _ in range(3)]
+        if i % 2:
+            parts.insert(rng.randrange(3), rng.choice(passages))
+        rows.append((None if i % 9 == 0 else i % 40 if i % 4 == 0 else i, " ".join(parts), "s"))
+    rows += [rows[7], rows[9], (None, rows[9][1], "t"), (5, None, "s"), (6, "", "s")]
+    docs = documents(rows)
+    hashed = {(r.doc_id, r.text): r.h for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+    want = spans_by_brute_force([(k, t, h) for (k, t), h in hashed.items()])
+    assert len(want) > 20 and sum(k is None for k, _ in want) > 1
+    texts = {(k, h): t for (k, t), h in hashed.items()}
+    got = {}
+    for r in D.spans(docs).collect():
+        got.setdefault((r.doc, texts[r.doc, r.h]), []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    left = {}
+    for k, t, _ in rows:
+        data, at, kept = (t or "").encode(), 0, b""
+        for a, b in want.get((k, t), []):
+            kept, at = kept + data[at:a], b
+        left.setdefault(k, []).append(None if t is None else (kept + data[at:]).decode())
+    clash = docs.withColumns({"doc": F.lit("a"), "h": F.lit("b"), "gone": F.lit(1), "row": F.lit(2), "text_": F.lit("c")})
+    done = {}
+    for r in D.deduplicated(clash).collect():
+        assert (r.doc, r.h, r.gone, r.row, r.text_) == ("a", "b", 1, 2, "c")
+        done.setdefault(r.doc_id, []).append(r.text)
+    assert {k: sorted(v, key=str) for k, v in done.items()} == {k: sorted(v, key=str) for k, v in left.items()}
+
+
+def test_an_id_shared_by_unlike_texts(spark, documents):
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    a, b, c = text(400), text(400), text(400)
+    left = [(r.doc_id, r.text) for r in D.deduplicated(documents([(1, a, "s"), (7, b, "s"), (7, f"{text(5)} {a}", "s"), (None, c, "s"), (None, f"{b} {text(30)}", "s")])).collect()]
+    assert (7, b) in left and (None, c) in left and (1, a) in left
+    assert sorted(len(t) for _, t in left)[:2] < [400, 400]
+    named = D.deduplicated(documents([(1, a, "s"), (2, a, "s")]).withColumn("doc_id", F.concat(F.lit("id "), "doc_id")))
+    assert sorted(len(r.text) for r in named.collect()) == [0, len(a)]
