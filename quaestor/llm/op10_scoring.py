@@ -16,14 +16,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import lgamma, log
+from math import log, pi
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .common import Lookup, cut, small_batches
 
@@ -35,15 +33,17 @@ HELD = 1 << 21
 RARE = 1 << 20
 #: Distinct keys that a task gathers before it hands them on.
 FLUSH = 400_000
+#: Stands before a text and ends it: a byte that UTF-8 never has.
+END = b"\xff"
 
 
 def _layout(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The sequences (long: depth bytes of context, then the byte) of all texts, and where each text's begin.
 
-    Zeros stand before a text, and one zero, coded like any byte, ends it.
+    ENDs stand before a text, and one, coded like any byte, ends it.
     """
-    gap = bytes(depth)
-    data = np.frombuffer(gap + b"".join(x + gap for x in texts) if depth else b"".join(x + b"\0" for x in texts), np.uint8)
+    gap = END * depth
+    data = np.frombuffer(gap + b"".join(x + gap for x in texts) if depth else b"".join(x + END for x in texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     step = max(depth, 1)
     first = depth + np.concatenate([[0], np.cumsum(sizes + step)[:-1]])
@@ -97,11 +97,27 @@ def _tallies(depth: int):
     return tally
 
 
-@F.pandas_udf(DoubleType())
-def _estimate(n0: pd.Series, n1: pd.Series) -> pd.Series:
-    """The natural logarithm of the Krichevsky-Trofimov probability of the counts."""
-    gamma = np.frompyfunc(lgamma, 1, 1)
-    return pd.Series((gamma(n0.to_numpy() + 0.5) + gamma(n1.to_numpy() + 0.5) - gamma(n0.to_numpy() + n1.to_numpy() + 1.0)).astype(float) - 2 * lgamma(0.5))
+def _stirling(z: Column) -> tuple[Column, Column]:
+    """x from 8 on, and what ln of z's gamma function has beside (x - 1/2) ln x - x + ln(2 pi) / 2. Good to 1e-11."""
+    rising = F.lit(1.0)
+    for k in range(8):
+        rising = rising * (z + k)
+    x = F.when(z < 8, z + 8.0).otherwise(z)
+    tail = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - 1 / (1680 * x * x * x * x * x * x * x)
+    return x, tail - F.when(z < 8, F.log(rising)).otherwise(0.0)
+
+
+def _estimate(n0: str, n1: str) -> Column:
+    """The natural logarithm of the Krichevsky-Trofimov probability of the counts.
+
+    The three gamma functions' large terms are taken together, so that what cancels
+    in them costs no digits, however large the counts are.
+    """
+    a, b = F.col(n0).cast("double"), F.col(n1).cast("double")
+    (x, tx), (y, ty), (z, tz) = _stirling(a + 0.5), _stirling(b + 0.5), _stirling(a + b + 1.0)
+    share = lambda v: F.when(v * 2 < z, F.log(v / z)).otherwise(F.log1p((v - z) / z))
+    moved = x + y - z
+    return (x - 0.5) * share(x) + (y - 0.5) * share(y) + (moved - 0.5) * F.log(z) - moved + (tx + ty - tz) + 0.5 * log(2 * pi) - log(pi)
 
 
 def _mask(depth: int) -> Column:

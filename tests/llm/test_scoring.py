@@ -1,9 +1,10 @@
 import zlib
 from collections import defaultdict
 from functools import cache
-from math import exp, lgamma, log, log10
+from math import exp, fsum, lgamma, log, log10, pi
 
 import pytest
+from pyspark.sql import functions as F
 
 from quaestor.llm import op10_scoring as C
 
@@ -61,7 +62,7 @@ def model(rows):
 
 
 def steps(t):
-    y = bytes(DEPTH) + low(t) + b"\0"
+    y = b"\xff" * DEPTH + low(t) + b"\xff"
     return [(y[i - DEPTH : i], y[i]) for i in range(DEPTH, len(y))]
 
 
@@ -69,7 +70,7 @@ def steps(t):
 @pytest.mark.parametrize("rare", [1 << 20, 3])
 def test_by_brute_force(spark, monkeypatch, shared, rare):
     monkeypatch.setattr(C, "RARE", rare)
-    rows = [(1, "Aab b"), (2, "ab ab\n"), (3, ""), (None, None), (4, "zz ab"), (4, "zz ab"), (7, "q é"), *[(i, "ab bb a" * (i % 3)) for i in range(8, 30)]]
+    rows = [(1, "Aab b"), (2, "ab ab\n"), (3, ""), (None, None), (4, "zz ab"), (4, "zz ab"), (7, "q é"), (31, "a\0b"), (33, "\0"), *[(i, "ab bb a" * (i % 3)) for i in range(8, 30)]]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, score string")
     got = sorted(map(tuple, C.scored(df, depth=DEPTH, held=shared).collect()), key=str)
     words, score = model(rows)
@@ -84,6 +85,19 @@ def test_by_brute_force(spark, monkeypatch, shared, rare):
         assert a.__getitem__(8) == pytest.approx(-a[6] * log(10) / log(2) / (a[7] + 1))
 
 
+def test_estimates(spark):
+    counts = [(a, b) for a in (0, 1, 2, 7, 8, 9, 100, 12345) for b in (0, 1, 5, 8, 64, 10**5)]
+    terms = lambda n: [log((i + 0.5) / (i + 1)) for i in range(n)]
+    got = spark.createDataFrame([*counts, *((b, a) for a, b in counts)], "n0 long, n1 long").withColumn("e", C._estimate("n0", "n1")).collect()
+    for r in got:
+        a, b = sorted((r.n0, r.n1))
+        want = fsum(terms(b) + [log((i + 0.5) / (b + i + 1)) for i in range(a)])
+        assert r.e == pytest.approx(want, rel=1e-12, abs=1e-10)
+    # Counts of 10^13 keep their digits: ln of 1 / sqrt(pi n).
+    huge = spark.range(1).select(F.lit(0).alias("n0"), F.lit(10**13).alias("n1")).select(C._estimate("n0", "n1").alias("e")).first().e
+    assert huge == pytest.approx(-0.5 * log(pi * 10**13), abs=1e-10)
+
+
 def test_probabilities_sum_to_one(spark):
     counts = spark.createDataFrame([(b << 8 | x, n) for b in (0, 97) for x, n in [(y, 5 if y == 98 else 0) for y in range(256)]], "gram long, n long")
     got = C.mixtures(counts, depth=1).collect()
