@@ -34,10 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared folder; its lineage ends there, so that the shuffles that led to it are deleted at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # The setting holds for what is planned under it.
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def words(text: Column) -> Column:
