@@ -277,15 +277,20 @@ def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     """(a, b): ``near``, links between fingerprints, and those of similar texts that they don't connect already.
 
     ``sketches`` holds fp, h, n and bands of each text. In each band's bucket of texts
-    all are first compared with one of them; then, what that leaves unconnected, in
-    pairs. No bucket is cut short.
+    all are first compared with the most central of them, the text whose own buckets
+    hold most: of a group of near copies that is one with few changes, to which
+    nearly all others are similar. What that leaves unconnected is compared in pairs.
+    No bucket is cut short.
     """
     roots = components(near)
     texts = sketches.groupBy("h").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rooted = texts.join(roots.toDF("fp", "root"), "fp", "left").select("h", "n", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("at"))
     rooted = cut(rooted)
-    mixed = rooted.groupBy("at").agg(F.min(F.struct("root", "h", "n")).alias("hub"), F.max("root").alias("most")).where("hub.root != most").drop("most")
-    members = cut(rooted.join(mixed, "at"))
+    mixed = rooted.groupBy("at").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least != most").select("at", "size")
+    inside = cut(rooted.join(mixed, "at"))
+    placed = inside.join(inside.groupBy("h").agg(F.sum("size").alias("reach")), "h")
+    hubs = placed.groupBy("at").agg(F.max(F.struct("reach", "h", "root", "n")).alias("hub"))
+    members = cut(inside.drop("size").join(hubs, "at"))
     sized = lambda x, y: 5 * F.least(x, y) >= FIFTHS * F.greatest(x, y)
     first = members.where((F.col("root") != F.col("hub.root")) & sized(F.col("n"), F.col("hub.n")))
     found = _alike(docs, first.select(F.col("h").alias("ha"), F.col("hub.h").alias("hb"), F.col("root").alias("a"), F.col("hub.root").alias("b")))
