@@ -39,10 +39,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)).cast("double")), F.lit(0.0))
 
 
+def utf16_units(text: Column) -> Column:
+    """The UTF-16 units of a text, as numbers; characters above the BMP have two."""
+    octets = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.sequence(F.lit(0), (F.length(octets) / 4).cast("int") - 1)
+    spelled = F.transform(units, lambda i: F.conv(F.substring(octets, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    return F.when(F.length(octets) == 0, F.array().cast("array<bigint>")).otherwise(spelled)
+
+
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over characters."""
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(4294967295)
-    return F.aggregate(F.split(text, ""), F.lit(2166136261), step)
+    """32-bit FNV-1a over UTF-16 units."""
+    step = lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(4294967295)
+    return F.aggregate(utf16_units(text), F.lit(2166136261), step)
 
 
 def query_terms(query: Column, stop: tuple[str, ...] = (), most: int = 16) -> Column:
@@ -69,12 +77,79 @@ def text_chunks(content: Column, size: int = 1200, overlap: int = 120) -> Column
 
 
 def leading_int(text: Column) -> Column:
-    """The integer that a text spells, else null."""
-    return F.when(text.rlike("^[0-9]+$"), text).cast("int")
+    """The integer that a text spells; null for any other text and for what an int can't hold."""
+    return F.when(text.rlike(r"\A[0-9]+\z"), text).try_cast("int")
+
+
+def content_hash(*parts: Column | str) -> Column:
+    """SHA-256 of the parts with NUL between them; a null part counts as an empty one, in its place."""
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def json_kind(text: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, NUMBER or NULL, by the value itself; null for what is no JSON."""
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json(text)), "^[A-Z]+", 0)
+    return F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").when(kind == "VOID", "NULL").otherwise(kind)
+
+
+def normalize_candidate(text: Column) -> Column:
+    """For candidates: NFKC, without spaces, one middle dot and one dash for all."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(nfkc(text), r"\s+", ""), "[･•‧∙⋅]", "・"), "[‐‑‒–—―−]", "-")
+
+
+def normalize_person(name: Column) -> Column:
+    """A person's name: NFKC, without spaces and what stands in brackets."""
+    return F.regexp_replace(F.regexp_replace(nfkc(name), r"\([^)]*\)", ""), r"\s+", "")
+
+
+def family_name_last(name: Column) -> Column:
+    """A name's last part between blanks; null for none."""
+    return F.nullif(F.element_at(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " "), -1), F.lit(""))
+
+
+def committee_term(name: Column) -> Column:
+    """What to search a committee by: its name without its kind."""
+    return F.regexp_replace(F.trim(name), "(特別|常任)?委員会$", "")
+
+
+def inline(text: Column) -> Column:
+    """A text on one line, single-spaced."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def summary_points(points: Column, most: int = 3) -> Column:
+    """The first points that aren't blank, trimmed."""
+    return F.slice(F.filter(F.transform(points, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+
+
+def expanded_terms(terms: Column, aliases: Column) -> Column:
+    """Terms and what a map of aliases has for them, each once, in order."""
+    return F.array_distinct(F.flatten(F.transform(terms, lambda t: F.concat(F.array(t), F.coalesce(F.get(F.array(aliases[t]), F.lit(0)), F.array().cast("array<string>"))))))
+
+
+def chunked(values: Column, size: int) -> Column:
+    """An array in pieces of ``size``."""
+    last = F.greatest(F.ceil(F.size(values) / size).cast("int") - 1, F.lit(0))
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * size + 1, size))).otherwise(F.array())
+
+
+def valid_vector(vector: Column, dimension: int) -> Column:
+    """Whether a vector has that many numbers, all finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) == dimension) & finite, F.lit(False))
+
+
+def linked_references(text: Column, valid: Column, url: str = "/ref/") -> Column:
+    """``[ref:1,2]`` as links to those of its numbers that are in ``valid``, an array of strings; a group without one goes."""
+    split = F.split(F.regexp_replace(text, r"\[ref:([0-9, ]+)\]", "\1$1\1"), "\1")
+    links = lambda group: F.array_join(F.transform(F.filter(F.split(group, r"[, ]+"), lambda n: F.array_contains(valid, n)), lambda n: F.concat(F.lit("["), n, F.lit(f"]({url}"), n, F.lit(")"))), "")
+    return F.array_join(F.transform(split, lambda part, i: F.when(i % 2 == 1, links(part)).otherwise(part)), "")
 
 
-def content_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\0", *parts), 256)
+def canonical_tag(tag: Column, aliases: Column, known: tuple[str, ...]) -> Column:
+    """A trimmed tag under its alias, if it is a known one."""
+    named = F.coalesce(aliases[F.trim(tag)], F.trim(tag))
+    return F.when(named.isin(*known), named)
 
 
 def amount(value: Column) -> Column:

@@ -29,14 +29,33 @@ def neighbours(df: DataFrame, keys: list[str], order: list[Column], item: str) -
 
 
 def tercile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``tier`` 1 to 3 by the order statistics at floor((n - 1) * q)."""
-    sorted_ = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_a"))
-    at = lambda q: F.element_at("_a", (F.floor((F.size("_a") - 1) * F.lit(q)) + 1).cast("int"))
-    bounds = sorted_.select(*keys, at(1 / 3).alias("_low"), at(2 / 3).alias("_high"))
+    """``tier`` 1 to 3 by the order statistics at floor((n - 1) * q), from counts of distinct values."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    by = W.partitionBy(*keys)
+    seen = counts.select(*keys, F.col(value).alias("_v"), F.sum("_k").over(by.orderBy(value).rowsBetween(W.unboundedPreceding, 0)).alias("_seen"), F.sum("_k").over(by).alias("_n"))
+    at = lambda q: F.min(F.when(F.col("_seen") > F.floor((F.col("_n") - 1) * F.lit(q)), F.col("_v")))
+    bounds = seen.groupBy(*keys).agg(at(1 / 3).alias("_low"), at(2 / 3).alias("_high"))
     tier = F.when(F.col(value) <= F.col("_low"), 1).when(F.col(value) <= F.col("_high"), 2).otherwise(3)
     return df.join(bounds, keys).withColumn("tier", tier).drop("_low", "_high")
 
 
+def as_of(points: DataFrame, starts: DataFrame, key: str, ranges: int = 400) -> DataFrame:
+    """``points`` with ``start``, the largest key of ``starts`` that isn't above their own; those before all starts go.
+
+    Only distinct keys are sorted, in ranges of equal width whose last starts are
+    carried on; a key that very many points share is met by a plain join.
+    """
+    keys, firsts = points.select(F.col(key).alias("_k")).distinct(), starts.select(F.col(key).alias("_k")).distinct()
+    both = keys.withColumn("_s", F.lit(None).cast("long")).unionByName(firsts.withColumn("_s", F.col("_k").cast("long")))
+    span = both.agg(F.min("_k").alias("low"), F.max("_k").alias("high")).select("low", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / ranges)).alias("width"))
+    dealt = both.join(F.broadcast(span)).withColumn("_r", F.floor((F.col("_k") - F.col("low")) / F.col("width")))
+    # One row a range, a fixed number of them.
+    before = dealt.groupBy("_r").agg(F.max("_s").alias("_m")).select("_r", F.max("_m").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
+    within = F.max("_s").over(W.partitionBy("_r").orderBy("_k", F.col("_s").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    found = dealt.join(F.broadcast(before), "_r").select("_k", F.col("_s").isNull().alias("_point"), F.coalesce(within, F.col("_b")).alias("start")).where("_point and start is not null").drop("_point")
+    return points.join(found, F.col(key) == F.col("_k")).drop("_k")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """A page of rows; ``order`` has to be total. Spark keeps only the first rows of each partition."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -48,9 +67,21 @@ def set_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parents: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
-    """(rule, violations) for (rule, column, parent, its key): rows whose reference is missing."""
-    counts = [child.join(p.select(F.col(k).alias(c)).distinct(), c, "left_anti").agg(F.lit(rule).alias("rule"), F.count("*").alias("violations")) for rule, c, p, k in parents]
-    return reduce(DataFrame.unionByName, counts)
+    """(rule, violations) for (rule, column, parent, its key): rows whose reference is missing, zeros included.
+
+    The child is read once; its references are counted before they meet the parents.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("k")) for rule, c, _, _ in parents]))
+    held = child.select(pairs.alias("p")).groupBy("p.rule", "p.k").agg(F.count("*").alias("n"))
+    known = reduce(DataFrame.unionByName, [p.select(F.lit(rule).alias("rule"), F.col(k).cast("string").alias("k")) for rule, _, p, k in parents])
+    missing = held.join(known, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("n").alias("violations"))
+    rules = child.sparkSession.createDataFrame([(rule,) for rule, *_ in parents], "rule string")
+    return rules.join(missing, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(k, n): each table's rows."""
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k, df in tables.items()])
 
 
 def mismatches(actual: DataFrame, expected: DataFrame, key: str, value: str) -> DataFrame:
@@ -75,10 +106,13 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     return new.alias("n").join(known.alias("o"), key, "left").where(F.col("_known").isNull() | ~same).select(key)
 
 
-def sync_plan(drafts: DataFrame, existing: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, action): insert, update, delete or keep, by comparing digests."""
-    d, e = drafts.select(key, F.col(digest).alias("_d")), existing.select(key, F.col(digest).alias("_e"))
-    action = F.when(F.col("_e").isNull(), "insert").when(F.col("_d").isNull(), "delete").when(F.col("_d") != F.col("_e"), "update").otherwise("keep")
+def sync_plan(drafts: DataFrame, existing: DataFrame, key: str, digest: str, model: str | None = None) -> DataFrame:
+    """(key, action): insert, update, delete or keep, by comparing digests and, if named, models; a null digest is a value like any other."""
+    compared = [digest, *([model] if model else [])]
+    d = drafts.select(key, F.lit(True).alias("_drafted"), *[F.col(c).alias(f"_d_{c}") for c in compared])
+    e = existing.select(key, F.lit(True).alias("_indexed"), *[F.col(c).alias(f"_e_{c}") for c in compared])
+    same = reduce(lambda a, b: a & b, [F.col(f"_d_{c}").eqNullSafe(F.col(f"_e_{c}")) for c in compared])
+    action = F.when(F.col("_indexed").isNull(), "insert").when(F.col("_drafted").isNull(), "delete").when(~same, "update").otherwise("keep")
     return d.join(e, key, "full").select(key, action.alias("action"))
 
 

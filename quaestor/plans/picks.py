@@ -68,9 +68,9 @@ def without_orders(t: Tables) -> DataFrame:
 
 @query("SELECT a.p_partkey, count(b.p_partkey) AS n_siblings FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey GROUP BY 1")
 def siblings(t: Tables) -> DataFrame:
-    """How many others share an item: a count over the group less oneself, no pairs."""
-    n = F.count("*").over(W.partitionBy("p_brand", "p_type"))
-    return t.part.select("p_partkey", (n - 1).alias("n_siblings"))
+    """How many others share an item: groups are counted before the join, no pairs."""
+    n = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    return t.part.join(n, ["p_brand", "p_type"]).select("p_partkey", (F.col("n") - 1).alias("n_siblings"))
 
 
 @query("""
@@ -111,13 +111,18 @@ def reference_checks(t: Tables) -> DataFrame:
     return R.orphans(t.lineitem, [("order", "l_orderkey", t.orders, "o_orderkey"), ("part", "l_partkey", t.part, "p_partkey"), ("supplier", "l_suppkey", t.supplier, "s_suppkey")])
 
 
-@query("""
-SELECT coalesce(a.k, e.k) AS k, a.n AS actual, e.n AS expected FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a
-FULL JOIN (SELECT n_nationkey AS k, 60::BIGINT AS n FROM nation) e ON a.k = e.k WHERE a.n IS DISTINCT FROM e.n""")
+MANIFEST = '{"counts": {"region": 5, "nation": 25, "supplier": 7}, "year": 2026}'
+
+
+@query(f"""
+WITH a AS (SELECT 'region' AS k, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier),
+e AS (SELECT unnest(json_keys('{MANIFEST}', '$.counts')) AS k), f AS (SELECT k, CAST(json_extract('{MANIFEST}', '$.counts.' || k) AS BIGINT) AS n FROM e)
+SELECT coalesce(a.k, f.k) AS k, a.n AS actual, f.n AS expected FROM a FULL JOIN f ON a.k = f.k WHERE a.n IS DISTINCT FROM f.n""")
 def count_checks(t: Tables) -> DataFrame:
-    """Counts that aren't the manifest's."""
-    actual = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    return R.mismatches(actual, t.nation.select(F.col("n_nationkey").alias("k"), F.lit(60).cast("long").alias("n")), "k", "n")
+    """Tables whose counts aren't those that a JSON manifest states."""
+    actual = R.table_counts({k: getattr(t, k) for k in ("region", "nation", "supplier")})
+    stated = F.explode(F.from_json(F.get_json_object(F.lit(MANIFEST), "$.counts"), "map<string,bigint>"))
+    return R.mismatches(actual, t.spark.range(1).select(stated.alias("k", "n")), "k", "n")
 
 
 @query("SELECT md5(text) AS digest, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -177,20 +182,9 @@ def claim_jobs(t: Tables) -> DataFrame:
 @query("""
 SELECT e.event_id, e.event_type, s.s_suppkey FROM (SELECT *, event_id % 1000 AS k FROM events) e ASOF JOIN (SELECT s_suppkey FROM supplier) s ON e.k >= s.s_suppkey""")
 def session_of_date(t: Tables) -> DataFrame:
-    """The latest start at or before each point: one sorted pass over both, in ranges of keys."""
-    points = t.events.select("event_id", "event_type", (F.col("event_id") % 1000).alias("k"), F.lit(1).alias("side"))
-    starts = t.supplier.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.col("s_suppkey").alias("k"), F.lit(0).alias("side"))
-    step = F.floor(F.col("k") / 128)
-    both = points.unionByName(starts).withColumn("range", step)
-    # The last start of all earlier ranges stands in for those of the range itself.
-    last = both.where("side = 0").groupBy("range").agg(F.max("k").alias("m"))
-    before = last.select("range", F.max("m").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("_b"), "m")
-    filled = both.join(before.select("range", "_b"), "range", "left")
-    w = W.partitionBy("range").orderBy("k", "side").rowsBetween(W.unboundedPreceding, 0)
-    found = F.coalesce(F.max(F.when(F.col("side") == 0, F.col("k"))).over(w), F.col("_b"))
-    at = filled.withColumn("s_suppkey", found).where("side = 1")
-    later = last.agg(F.max("m").alias("top"), F.max("range").alias("top_range"))
-    return at.join(F.broadcast(later)).select("event_id", "event_type", F.coalesce("s_suppkey", F.when(F.col("range") > F.col("top_range"), F.col("top"))).alias("s_suppkey")).where("s_suppkey is not null")
+    """The latest start at or before each point."""
+    points = t.events.select("event_id", "event_type", (F.col("event_id") % 1000).alias("k"))
+    return R.as_of(points, t.supplier.select(F.col("s_suppkey").alias("k")), "k").select("event_id", "event_type", F.col("start").alias("s_suppkey"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 14 THEN 'approved' WHEN p_size >= 35 THEN 'rejected' ELSE 'pending' END AS moderation, p_size <= 14 AND p_retailprice >= 1200 AS auto_publish FROM part")
@@ -203,9 +197,9 @@ def moderation_bands(t: Tables) -> DataFrame:
 @query("""
 SELECT p_brand, p_partkey, p_size = max(p_size) OVER (PARTITION BY p_brand) AND row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) = 1 AS is_published FROM part""")
 def publish_version(t: Tables) -> DataFrame:
-    """One published version of each, the highest."""
-    w = W.partitionBy("p_brand").orderBy(F.col("p_size").desc(), "p_partkey")
-    return t.part.select("p_brand", "p_partkey", (F.row_number().over(w) == 1).alias("is_published"))
+    """One published version of each, the highest; it is combined before the shuffle."""
+    best = t.part.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-F.col("p_size"), "p_partkey")).alias("best"))
+    return t.part.join(best, "p_brand").select("p_brand", "p_partkey", (F.col("p_partkey") == F.col("best")).alias("is_published"))
 
 
 @query("SELECT l.l_orderkey, l.l_linenumber FROM lineitem l SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') o ON l.l_orderkey = o.o_orderkey")

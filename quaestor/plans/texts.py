@@ -110,18 +110,23 @@ def snippets(t: Tables) -> DataFrame:
     return t.documents.where(F.lower("text").contains("the")).select("doc_id", X.snippet(F.col("text"), F.lit("the")).alias("snippet"))
 
 
-@query("SELECT doc_id, sha256(coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || text) AS digest FROM documents")
+@query("SELECT doc_id, sha256(coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || coalesce(text, '')) AS digest FROM documents")
 def content_hashes(t: Tables) -> DataFrame:
     """Digests over parts that are told apart."""
     return t.documents.select("doc_id", X.content_hash("lang", "source", "text").alias("digest"))
 
 
-@query("""
-SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k, json_type(props) AS kind FROM events""")
+_ODD_JSON = "CASE event_id % 6 WHEN 1 THEN '[' || event_id || ']' WHEN 2 THEN '\"' || event_type || '\"' WHEN 3 THEN '{\"k\": \"99999999999\"}' WHEN 4 THEN '{broken' WHEN 5 THEN CAST(event_id AS VARCHAR) ELSE props END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_ODD_JSON} AS j FROM events)
+SELECT event_id, CASE WHEN json_valid(j) AND regexp_full_match(json_extract_string(j, '$.k'), '[0-9]+') THEN try_cast(json_extract_string(j, '$.k') AS INT) END AS k,
+       CASE WHEN json_valid(j) THEN CASE json_type(j) WHEN 'UBIGINT' THEN 'NUMBER' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(j) END END AS kind FROM e""")
 def message_fields(t: Tables) -> DataFrame:
-    """Fields of a JSON text, null where it has none."""
-    k = F.get_json_object("props", "$.k")
-    return t.events.select("event_id", X.leading_int(k).alias("k"), F.when(F.col("props").isNotNull(), "OBJECT").alias("kind"))
+    """Fields and kinds of JSON texts: objects, arrays, strings, numbers and broken ones."""
+    case = F.expr(_ODD_JSON.replace("VARCHAR", "STRING"))
+    return t.events.select("event_id", case.alias("j")).select("event_id", X.leading_int(F.get_json_object("j", "$.k")).alias("k"), X.json_kind(F.col("j")).alias("kind"))
 
 
 @query("""

@@ -29,21 +29,21 @@ def ndjson(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def folded_slots(events: DataFrame) -> DataFrame:
     """Events (slot, seq, kind) folded into each slot's state: planned, running, done or failed, and its turns.
 
-    An error is final; a turn or an end before the start is counted once the start
-    has come.
+    An error is final. What is kept doesn't depend on the order of arrival: turns and
+    ends that come before the start, in an earlier batch too, count once it has come.
+    Events are expected once each; ``impressions`` drops those that are sent twice.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, turns, last = state.get if state.exists else ("planned", 0, -1)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for kind, seq in zip(rows["kind"], rows["seq"], strict=True):
-            if seq <= last:
-                continue
-            last = int(seq)
-            turns += kind == "turn"
-            if status != "failed":
-                status = {"started": "running", "turn": "running", "complete": "done", "error": "failed"}.get(kind, status)
-        state.update((status, int(turns), last))
-        yield pd.DataFrame({"slot": [key[0]], "status": [status], "turns": [int(turns)]})
-
-    return events.groupBy("slot").applyInPandasWithState(fold, "slot string, status string, turns long", "status string, turns long, last long", "update", GroupStateTimeout.NoTimeout)
+        started, ended, failed, turns = state.get if state.exists else (False, False, False, 0)
+        for rows in batches:
+            kinds = rows["kind"]
+            started |= bool((kinds == "started").any())
+            ended |= bool((kinds == "complete").any())
+            failed |= bool((kinds == "error").any())
+            turns += int((kinds == "turn").sum())
+        state.update((started, ended, failed, turns))
+        status = "failed" if failed else "planned" if not started else "done" if ended else "running"
+        yield pd.DataFrame({"slot": [key[0]], "status": [status], "turns": [turns if started else 0]})
+
+    return events.groupBy("slot").applyInPandasWithState(fold, "slot string, status string, turns long", "started boolean, ended boolean, failed boolean, turns long", "update", GroupStateTimeout.NoTimeout)
