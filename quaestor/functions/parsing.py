@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
-from .text import fnv1a, nfkc
+from .text import clamp_score, fnv1a, nfkc
 
 # Fixed values of the linear congruential generator.
 MULTIPLIER, INCREMENT = 1664525, 1013904223
@@ -36,9 +36,10 @@ def markdown_sections(docs: DataFrame, key: str, text: str, default: str, skippe
 
 def assignments(replies: DataFrame, key: str, text: str, size: int, valid: tuple[str, ...]) -> DataFrame:
     """(key, item, topic) for items 1 to ``size``: the topic that an item's last line names, if it is valid."""
-    lines = replies.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
-    form = r"^(\d{1,9})[\s:→-]+(\S+)"
-    named = lines.where(F.col("line").rlike(form)).select(key, "n", F.regexp_extract("line", form, 1).cast("long").alias("item"), F.regexp_replace(F.regexp_extract("line", form, 2), "[`\"'.,;]", "").alias("token"))
+    # A line is a number, a separator of any other characters, and a word.
+    lines = replies.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("parts", F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}_]+"), 0))
+    number = F.get("parts", F.lit(0)).try_cast("long")
+    named = lines.where(number.isNotNull() & F.trim("line").startswith(F.get("parts", F.lit(0)))).select(key, "n", number.alias("item"), F.get("parts", F.lit(1)).alias("token")).where("token is not null")
     last = named.groupBy(key, "item").agg(F.max_by("token", "n").alias("token"))
     items = replies.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long"))).alias("item"))
     return items.join(last, [key, "item"], "left").select(key, "item", F.when(F.col("token").isin(*valid), F.col("token")).alias("topic"))
@@ -60,16 +61,24 @@ def daily_pick(ids: Column, day: Column, size: int = 3) -> Column:
 
 
 def questioner(note: Column) -> Column:
-    """The name of the member who asked, without blanks; null where none is named."""
-    text = nfkc(note)
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"本会議で(.+?)議員が質問", r"(.+?)議員が(?:代表|一般)?質問")])
-    return F.regexp_replace(found, r"\s+", "")
+    """The name of the member who asked, without blanks; null where none is named.
+
+    It is what stands before the member's title in the sentence that has a question,
+    after the place where it was asked.
+    """
+    sentences = F.filter(F.split(nfkc(note), "[。\n]"), lambda s: s.contains("議員") & s.contains("質問"))
+    before = F.substring_index(F.get(sentences, F.lit(0)), "議員", 1)
+    return F.nullif(F.regexp_replace(F.element_at(F.split(before, "[で、]"), -1), r"\s+", ""), F.lit(""))
 
 
 def committee(note: Column, known: tuple[str, ...] = ()) -> Column:
-    """A known committee that a note names, else the one in brackets, else the first that ends so."""
+    """The committee that a note names: a known one, one that is labelled as such, one in brackets, or the first other."""
     sure = [F.when(note.contains(k), F.lit(k)) for k in known]
-    return F.coalesce(*sure, *[F.nullif(F.trim(F.regexp_extract(note, p, 1)), F.lit("")) for p in (r"[（(]([^）)]*委員会)[）)]", r"([^、。]+委員会)")])
+    named = F.filter(F.split(F.regexp_replace(note, r"([:：])\s*", "$1"), r"[\s、。()（）]+"), lambda w: w.endswith("委員会"))
+    labelled = F.filter(named, lambda w: w.rlike("[:：]"))
+    bracketed = F.filter(F.transform(F.split(note, "[(（]"), lambda w: F.trim(F.substring_index(F.substring_index(w, ")", 1), "）", 1))), lambda w: w.endswith("委員会"))
+    first = lambda a: F.get(a, F.lit(0))
+    return F.coalesce(*sure, F.element_at(F.split(first(labelled), "[:：]"), -1), first(bracketed), first(named))
 
 
 def role_title(title: Column, generic: tuple[str, ...]) -> Column:
@@ -139,3 +148,44 @@ def message(content: Column, stages: tuple[str, ...]) -> Column:
     """A message's JSON (text, stage, quick replies, report flag); content that is none is its own text."""
     parsed = F.from_json(content, "text string, next_stage string, quick_replies array<string>, report string")
     return F.struct(F.coalesce(parsed["text"], content).alias("text"), F.when(parsed["next_stage"].isin(*stages), parsed["next_stage"]).alias("stage"), F.coalesce(F.filter(parsed["quick_replies"], lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("quick_replies"), parsed["report"].isNotNull().alias("has_report"))
+
+
+def report(content: Column) -> Column:
+    """The report in a message's JSON: summary and opinions, what they lack null; null unless it has a summary and a list of opinions."""
+    parsed = F.from_json(F.get_json_object(content, "$.report"), "summary string, opinions array<struct<title string, content string, richness double>>")
+    return F.when(parsed["summary"].isNotNull() & parsed["opinions"].isNotNull(), parsed)
+
+
+def spoken_turns(messages: DataFrame, key: str, order: str, role: str, text: str, stages: tuple[str, ...] = ()) -> DataFrame:
+    """A session's turns as they were said: those that only hand over a report go, assistants' JSON becomes its text."""
+    said = message(F.col(text), stages)
+    told = F.when(F.col(role) == "assistant", said["text"]).otherwise(F.col(text))
+    reported = (F.col(role) == "assistant") & F.coalesce(said["has_report"], F.lit(False))
+    return messages.where(~reported).select(key, order, role, told.alias(text))
+
+
+def opinion_rows(reports: DataFrame, key: str, opinions: str) -> DataFrame:
+    """(key, opinion_index, title, content, richness) of a list of opinions; missing parts are null, richness is clamped."""
+    rows = reports.select(key, F.posexplode(opinions).alias("opinion_index", "o"))
+    return rows.select(key, "opinion_index", "o.title", "o.content", clamp_score(F.col("o.richness")).alias("richness"))
+
+
+def statements(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
+    """(key, n, speaker, content): under the heading of level 1 named ``part``, one row for each heading of level 2."""
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line"))
+    by = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    after = lambda mark: F.trim(F.substring(F.col("line"), len(mark) + 1, F.length("line")))
+    one, two = F.col("line").startswith("# "), F.col("line").startswith("## ")
+    marked = lines.withColumns({"h1": F.last(F.when(one, after("# ")), True).over(by), "h2": F.count_if(two).over(by), "speaker": F.when(two, after("## "))})
+    inside = marked.where((F.col("h1") == part) & ~one & (F.col("h2") > 0))
+    grouped = inside.groupBy(key, "h2").agg(F.first("speaker", True).alias("speaker"), F.sort_array(F.collect_list(F.when(F.col("speaker").isNull(), F.struct("n", "line")))).alias("l"), F.min("n").alias("at"))
+    content = F.trim(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), " "), r"\s+", " "))
+    return grouped.select(key, F.row_number().over(W.partitionBy(key).orderBy("at")).alias("n"), "speaker", content.alias("content"))
+
+
+def interview_cost(minutes: Column, prices: dict[str, float], model: Column) -> Column:
+    """An interview's estimated cost by its model's price a minute; null for an unknown model."""
+    price = F.lit(None).cast("double")
+    for name, value in prices.items():
+        price = F.when(model == name, value).otherwise(price)
+    return F.round(F.greatest(minutes, F.lit(0)) * price, 6)

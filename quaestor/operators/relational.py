@@ -138,3 +138,13 @@ def claimed(jobs: DataFrame, now: Column, limit: int, status: str = "status", du
 def retried(attempts: Column, most: int = 5) -> Column:
     """(status, wait_minutes) after a failure: 1, 2, 4 ... up to 60 minutes, failed at ``most`` attempts."""
     return F.struct(F.when(attempts >= most, "failed").otherwise("pending").alias("status"), F.least(F.lit(60), F.pow(F.lit(2), attempts - 1)).cast("int").alias("wait_minutes"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place in an order, from 1; for lists of a page's size, which one task sorts."""
+    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
+def top(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each key with their place ``n``; Spark keeps only so many of each in a partition before the shuffle."""
+    return df.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= most)

@@ -1,4 +1,4 @@
 """The registered queries for the reference's own operators."""
 
-from . import picks, rollups, texts  # noqa: F401
+from . import checks, listing, matching, picks, queues, reports, rollups, scalars, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

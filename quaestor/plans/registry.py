@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+MODULE: dict[str, str] = {}
 
 
 class Tables:
@@ -26,6 +27,7 @@ def query(sql: str | None = None):
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        MODULE[f.__name__] = f.__module__
         if sql:
             SQL[f.__name__] = sql
         return f

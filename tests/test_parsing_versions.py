@@ -42,6 +42,9 @@ def test_names(spark):
     assert value(spark, P.questioner(F.lit("本会議で山田 太郎議員が質問"))) == "山田太郎"
     assert value(spark, P.questioner(F.lit("none"))) is None
     assert value(spark, P.committee(F.lit("付託（総務委員会）"))) == "総務委員会"
+    assert value(spark, P.questioner(F.lit("定例会。本会議で、鈴木議員が代表質問。"))) == "鈴木"
+    assert value(spark, P.committee(F.lit("付託委員会: 文教委員会、（総務委員会）"))) == "文教委員会"
+    assert value(spark, P.committee(F.lit("また建設委員会で"), ("建設委員会",))) == "建設委員会" and value(spark, P.committee(F.lit("なし"))) is None
     assert value(spark, P.role_title(F.lit("  市民 "), ("市民",))) is None
 
 
@@ -93,3 +96,48 @@ def test_changes(spark):
     new = spark.createDataFrame([(1, "a", None), (2, "b", "y"), (3, "c", None)], "k long, p string, q string")
     assert sorted(r.k for r in R.changed(old, new, "k", ["p", "q"]).collect()) == [2, 3]
     assert {(r.k, r.p) for r in R.merged(old, new.where("k > 1"), ["k"]).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_sync_by_presence(spark):
+    d = spark.createDataFrame([(1, "a", "m"), (2, None, "m"), (3, None, "m"), (4, "x", "n")], "k long, d string, m string")
+    e = spark.createDataFrame([(1, "a", "m"), (2, None, "m"), (4, "x", "m"), (5, None, "m")], "k long, d string, m string")
+    assert {r.k: r.action for r in R.sync_plan(d, e, "k", "d").collect()} == {1: "keep", 2: "keep", 3: "insert", 4: "keep", 5: "delete"}
+    assert {r.k: r.action for r in R.sync_plan(d, e, "k", "d", "m").collect()} == {1: "keep", 2: "keep", 3: "insert", 4: "update", 5: "delete"}
+
+
+def test_as_of_over_gaps(spark):
+    """Ranges without a start, points before all and after the last of them."""
+    points = [(i, k) for i, k in enumerate([-5, 0, 1, 7, 500, 999, 1000, 10**6, 10**6, 12, 2 * 10**6])]
+    starts = [0, 7, 999, 10**6 - 3]
+    got = {r.id: r.start for r in R.as_of(spark.createDataFrame(points, "id long, k long"), spark.createDataFrame([(s,) for s in starts], "k long"), "k", ranges=16).collect()}
+    assert got == {i: max(s for s in starts if s <= k) for i, k in points if k >= 0}
+
+
+def test_orphans_and_terciles(spark):
+    child = spark.createDataFrame([(1, 5), (2, 6), (2, None), (9, 5)], "a long, b long")
+    pa, pb = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(5,), (6,)], "k long")
+    assert {r.rule: r.violations for r in R.orphans(child, [("a", "a", pa, "k"), ("b", "b", pb, "k"), ("all", "a", child, "a")]).collect()} == {"a": 1, "b": 1, "all": 0}
+    rows = [("g", x) for x in (1, 1, 2, 3, 3, 3, 9)] + [("h", 4)]
+    got = sorted((r.g, r.v, r.tier) for r in R.tercile(spark.createDataFrame(rows, "g string, v long"), ["g"], "v").collect())
+    a = [1, 1, 2, 3, 3, 3, 9]
+    low, high = a[int(6 / 3)], a[int(12 / 3)]
+    assert got == [("g", x, 1 if x <= low else 2 if x <= high else 3) for x in a] + [("h", 4, 1)]
+
+
+def test_backfill_stops():
+    from quaestor.operators import queues as Q
+
+    left = [90]
+    assert Q.until_done(lambda: left[0], lambda: left.__setitem__(0, max(left[0] - 30, 0))) == 0
+    assert Q.until_done(lambda: 7, lambda: None) == 7
+
+
+def test_pages(spark):
+    from quaestor.operators import listing as L
+
+    rows = spark.range(25).toDF("k")
+    last = L.paged(rows, [F.col("k")], 3, 10).collect()
+    assert [r.k for r in last] == list(range(20, 25)) and not any(r.has_more for r in last)
+    assert all(r.has_more for r in L.paged(rows, [F.col("k")], 2, 10).collect())
+    empty = L.clamped(rows.limit(0), [F.col("k")], 4, 10)
+    assert empty.count() == 0 and {r.page for r in L.clamped(rows, [F.col("k")], -3, 10).collect()} == {1}

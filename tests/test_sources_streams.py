@@ -77,6 +77,22 @@ def test_ndjson_and_fold(spark, tmp_path):
     assert got == {"s1": ("done", 1), "s2": ("failed", 0)}
 
 
+def test_fold_of_late_events(spark, tmp_path):
+    """Batches in any order give the same state."""
+    (tmp_path / "n").mkdir()
+    batches = [[("a", 3, "complete"), ("b", 2, "turn")], [("a", 1, "started"), ("a", 2, "turn"), ("b", 3, "turn")], [("b", 1, "started"), ("c", 5, "error")], [("c", 1, "started")]]
+    stream = windows.ndjson(spark, str(tmp_path / "n"), "slot string, seq long, kind string")
+    q = windows.folded_slots(stream).writeStream.outputMode("update").format("memory").queryName("late").start()
+    for i, lines in enumerate(batches):
+        (tmp_path / "n" / f"{i}.ndjson").write_text("\n".join(json.dumps(dict(zip(("slot", "seq", "kind"), x, strict=True))) for x in lines))
+        q.processAllAvailable()
+    q.stop()
+    got = {}
+    for r in spark.table("late").collect():
+        got.setdefault(r.slot, []).append((r.status, r.turns))
+    assert got["a"] == [("planned", 0), ("done", 1)] and got["b"][-1] == ("running", 2) and got["c"] == [("failed", 0), ("failed", 0)]
+
+
 def test_paged_source(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps({"posts": [{"id": "1", "text": "a"}, {"id": "2", "text": "b"}]}))
     (tmp_path / "2.json").write_text(json.dumps({"posts": [{"id": "2", "text": "b"}, {"id": "10", "text": "c"}]}))
