@@ -33,6 +33,8 @@ _BLOCK = 1 << 17
 #: The stage's shingles, and the similarity (in fifths) from which it links texts.
 WIDE, FIFTHS = 5, 4
 BANDS, ROWS = 24, 6
+#: Longs of a set's parities.
+LONGS = 8
 
 # Fixed values of XXH64.
 P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
@@ -157,15 +159,21 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return ((key ^ (key >> np.uint64(31))) * np.uint64(P2)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 * LONGS bits (int64): whether an odd number of the set's shingles fall to each. Two sets differ in as many shingles as their bits do, or in more."""
+    odd = np.bincount((shingles % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, h) with ``fp``, the number of shingles and the bands in place of the text."""
+    """(doc_id, text, h) with ``fp``, the number of shingles, the bands and the parities in place of the text."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
             texts = texts_of(part.column(1))
             sets = shingle_sets(*texts)
-            columns = [pa.array(fingerprints(*texts).view(np.int64)), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "fp", "h", "n", "bands"])
+            columns = [pa.array(fingerprints(*texts).view(np.int64)), part.column(2), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (bands, parities))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "fp", "h", "n", "bands", "odd"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +284,14 @@ def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     """(a, b): ``near``, links between fingerprints, and those of similar texts that they don't connect already.
 
-    ``sketches`` holds fp, h, n and bands of each text. In each band's bucket of texts
+    ``sketches`` holds fp, h, n, bands and odd of each text. In each band's bucket of texts
     all are first compared with the most central of them, the text whose own buckets
     hold most: of a group of near copies that is one with few changes, to which
-    nearly all others are similar. What that leaves unconnected is compared in pairs.
-    No bucket is cut short.
+    nearly all others are similar. What that leaves unconnected is matched in pairs
+    whose parities allow for the similarity, which those of all similar texts do: sets
+    that differ in more than a ninth of both sizes aren't similar, and parities never
+    differ in more bits than the sets do in shingles. Only such pairs leave the join,
+    and no bucket is cut short.
     """
     roots = components(near)
     texts = sketches.groupBy("h").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -296,9 +307,14 @@ def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     found = _alike(docs, first.select(F.col("h").alias("ha"), F.col("hub.h").alias("hb"), F.col("root").alias("a"), F.col("hub.root").alias("b")))
     joined = members.drop("hub").join(components(found).toDF("root", "top"), "root", "left").select("at", "h", "n", F.coalesce("top", "root").alias("root"))
     open_ = joined.groupBy("at").agg(F.min("root").alias("r"), F.max("root").alias("most")).where("r != most").select("at")
-    left = cut(joined.join(open_, "at"))
+    left = joined.join(open_, "at")
+    marks = sketches.select("h", "odd").join(left.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("odd").alias("odd"))
+    left = cut(left.join(marks, "h"))
+    apart = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    # 9 * |x - y, y - x| <= |x| + |y| is a Jaccard similarity of FIFTHS / 5 or more.
+    near_sets = (5 + FIFTHS) * apart <= (5 - FIFTHS) * (F.col("x.n") + F.col("y.n"))
     x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.root") < F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")))
+    pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.root") < F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & near_sets)
     rest = _alike(docs, pairs.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb"), F.col("x.root").alias("a"), F.col("y.root").alias("b")))
     return near.unionByName(found).unionByName(rest)
 
@@ -315,9 +331,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hashed = F.xxhash64("text")
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    prints = cut(docs.select("doc_id", F.col("text").cast("string").alias("text"), hashed.alias("h")).mapInArrow(_sketched, f"doc_id {kind}, fp long, h long, n long, bands array<long>"))
+    prints = cut(docs.select("doc_id", F.col("text").cast("string").alias("text"), hashed.alias("h")).mapInArrow(_sketched, f"doc_id {kind}, fp long, h long, n long, bands array<long>, odd array<long>"))
     near = cut(links(prints.select("fp").distinct()))
-    named = _named(prints.select("doc_id", "fp"), similar(docs, prints.where("n > 0").select("fp", "h", "n", "bands"), near))
+    named = _named(prints.select("doc_id", "fp"), similar(docs, prints.where("n > 0").select("fp", "h", "n", "bands", "odd"), near))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")
     first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("_first"))
     kept = first.select(F.col("_first.doc_id").alias("id"), F.col("_first.h").alias("th"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -115,3 +116,16 @@ def test_similar_texts_of_a_large_bucket(spark, documents):
     rows = [(i, " ".join(words[17 * i : 17 * i + 300]), "s") for i in range(30)]
     kept = op02_simhash.stage(spark, documents(rows), "").collect()
     assert [r.doc_id for r in kept] == [0]
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 150, 3000):
+        for shared in (0.0, 0.5, 0.8, 0.95, 1.0):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.concatenate([x[: int(n * shared)], rng.integers(0, 1 << 63, n - int(n * shared), dtype=np.uint64)])
+            bits = sum(int(a).bit_count() for a in (op02_simhash.parities(x) ^ op02_simhash.parities(y)).view(np.uint64))
+            apart, common = len(np.setxor1d(x, y)), len(np.intersect1d(x, y))
+            assert bits <= apart and bits % 2 == apart % 2
+            if 5 * common >= 4 * (2 * n - common):  # similar enough, so the bound lets them through
+                assert 9 * bits <= 2 * n
