@@ -169,3 +169,10 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; null where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def name_uuid(name: Column) -> Column:
+    """The id of a name: the first 16 bytes of its SHA-1 as a UUID, with the marks of version 5."""
+    h = F.sha1(name.cast("binary"))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -192,3 +192,9 @@ def parsed_notes(t: Tables) -> DataFrame:
 def summary_points(t: Tables) -> DataFrame:
     """The first points that aren't blank."""
     return t.part.select("p_partkey", F.array_join(X.summary_points(F.array("p_name", F.lit("  "), F.lit(" x"), "p_type"), 2), "|").alias("points"), F.length(X.inline(F.concat("p_name", F.lit(" \n")))).cast("long").alias("n"))
+
+
+@query("SELECT s_suppkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT s_suppkey, sha1('supplier:' || s_suppkey || ':é') AS h FROM supplier)")
+def seeded_ids(t: Tables) -> DataFrame:
+    """Ids that are made from names, the same at every run."""
+    return t.supplier.select("s_suppkey", X.name_uuid(F.concat(F.lit("supplier:"), "s_suppkey", F.lit(":é"))).alias("id"))

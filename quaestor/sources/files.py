@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+AS_IT_IS = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 class Malformed(ValueError):
     """A file isn't of the form that is asked for."""
 
@@ -62,6 +65,70 @@ def resolve(spark: SparkSession, folder: str, name: str, sha256: str) -> str:
     return found["path"]
 
 
+def read_dataset(spark: SparkSession, folder: str, tables: dict[str, T.StructType], manifest: str = "manifest.json", most_bytes: int = 64 << 20) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables that a manifest lists, by logical file name, and one row a file of what it says and what is there.
+
+    Files are told by digest among those of their logical name, and their sizes
+    together have a bound. ``tables`` gives each file's schema; the manifest has to list
+    every one, once. The second result has name, path, sha256, expected and actual counts
+    and ``result``, as ``checks.compared`` states it.
+    """
+    listed = spark.read.schema("publicFiles array<struct<fileName:string,sha256:string,rowCount:long,itemCount:long>>").json(f"{folder}/{manifest}", multiLine=True, mode="FAILFAST")
+    files = listed.select(F.inline("publicFiles")).where(F.col("fileName").isin(*tables)).limit(2 * len(tables) + 1).collect()
+    names = [f["fileName"] for f in files]
+    if sorted(names) != sorted(tables):
+        raise Malformed(f"the manifest lists {sorted(names)}, not {sorted(tables)}")
+    found, rows, total = {}, [], 0
+    for f in files:
+        name = f["fileName"]
+        held = candidates(spark, folder, name).where(F.col("sha256") == f["sha256"]).orderBy("path").first()
+        if held is None:
+            raise Malformed(f"no {name} has digest {f['sha256']}")
+        total += held["length"]
+        read = read_json if name.endswith(".json") else read_csv
+        found[name] = read(spark, held["path"].replace("%20", " "), tables[name])
+        expected = f["rowCount"] if f["rowCount"] is not None else f["itemCount"]
+        rows.append(found[name].agg(F.count("*").alias("actual")).select(F.lit(name).alias("name"), F.lit(held["path"]).alias("path"), F.lit(f["sha256"]).alias("sha256"), F.lit(expected).cast("long").alias("expected"), "actual"))
+    if total > most_bytes:
+        raise Malformed(f"the files have {total} bytes, more than {most_bytes}")
+    same = F.col("actual").eqNullSafe(F.col("expected"))
+    return found, reduce(DataFrame.unionByName, rows).withColumn("result", F.when(same, "PASS").otherwise("FAIL"))
+
+
+def read_review(spark: SparkSession, path: str, names: list[str], arrays: tuple[str, ...] = ()) -> DataFrame:
+    """A review sheet with exactly these columns, all strings; cells of ``arrays`` hold JSON arrays of strings."""
+    rows = read_csv(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return rows.withColumns({c: F.from_json(c, "array<string>") for c in arrays}) if arrays else rows
+
+
+def write_review(df: DataFrame, path: str, *order: str) -> None:
+    """A review sheet: every cell quoted, arrays as JSON, rows in order over the files' names, so that reruns agree."""
+    cells = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast("string").alias(f.name) for f in df.schema]
+    df.orderBy(*order).select(*cells).write.mode("overwrite").csv(path, header=True, quoteAll=True, **AS_IT_IS)
+
+
+def write_seed(df: DataFrame, path: str, *order: str) -> None:
+    """A seed CSV, which ``read_seed`` reads back: quoted where it has to be, null and empty cells empty, arrays as JSON."""
+    cells = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast("string").alias(f.name) for f in df.schema]
+    df.orderBy(*order).select(*cells).write.mode("overwrite").csv(path, header=True, emptyValue="", **AS_IT_IS)
+
+
+def markdown(title: str, sections: dict[str, DataFrame], most: int = 10_000) -> str:
+    """A report: each section's rows as a table in their own order; "none" where there are none.
+
+    It is for people to read, so a section of more than ``most`` rows is refused.
+    """
+    out = [f"# {title}", ""]
+    for name, df in sections.items():
+        rows = df.select(*[F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\r?\n", " ").alias(c) for c in df.columns]).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        line = lambda cells: f"| {' | '.join(cells)} |"
+        body = [line(df.columns), line(["-"] * len(df.columns)), *map(line, rows)] if rows else ["none"]
+        out += [f"## {name}", "", *body, ""]
+    return "\n".join(out)
+
+
 def exploded(parents: DataFrame, key: str, nested: str) -> DataFrame:
     """A child table from an array of structs, with its parent's key."""
     return parents.select(key, F.explode(nested).alias("_c")).select(key, "_c.*")
@@ -92,7 +159,7 @@ def transcript(sessions: DataFrame, messages: DataFrame, key: str, order: str, t
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="")
+    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def source_documents(*tables: DataFrame) -> DataFrame:

@@ -52,6 +52,51 @@ def test_seed_and_transcript(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).first().b == "y"
 
 
+def one_file(folder):
+    return b"".join(f.read_bytes() for f in sorted(folder.glob("part-*.csv"))).decode()
+
+
+def test_dataset_of_a_manifest(spark, tmp_path):
+    bodies = {"items.csv": b"code,name,amount\n01,a,5\n02,b,\n", "topics.json": b'[{"id": 1}, {"id": 2}, {"id": 3}]'}
+    for name, body in bodies.items():
+        (tmp_path / name.replace(".", " (1).")).write_bytes(body)
+        (tmp_path / name).write_bytes(b"older")
+    entry = lambda name, rows: {"fileName": name, "sha256": hashlib.sha256(bodies[name]).hexdigest(), **rows}
+    manifest = lambda *files: (tmp_path / "manifest.json").write_text(json.dumps({"fiscalYear": 8, "publicFiles": files}))
+    tables = {"items.csv": CODES, "topics.json": T.StructType.fromDDL("id long")}
+    manifest(entry("items.csv", {"rowCount": 2}), entry("topics.json", {"itemCount": 4}))
+    found, rows = files.read_dataset(spark, str(tmp_path), tables)
+    assert sorted(tuple(r) for r in found["items.csv"].collect()) == [("01", "a", 5), ("02", "b", None)] and found["topics.json"].count() == 3
+    assert {r.name: (r.expected, r.actual, r.result) for r in rows.collect()} == {"items.csv": (2, 2, "PASS"), "topics.json": (4, 3, "FAIL")}
+    with pytest.raises(files.Malformed, match="bytes"):
+        files.read_dataset(spark, str(tmp_path), tables, most_bytes=10)
+    for listed in ((entry("items.csv", {}),), (entry("items.csv", {}), entry("items.csv", {})), (entry("items.csv", {}) | {"sha256": "0" * 64}, entry("topics.json", {}))):
+        manifest(*listed)
+        with pytest.raises(files.Malformed):
+            files.read_dataset(spark, str(tmp_path), tables)
+
+
+def test_sheets(spark, tmp_path):
+    df = spark.createDataFrame([("b", ' x "y"\nz ', ["p", 'q"']), ("a", "", [])], "k string, note string, tags array<string>")
+    files.write_review(df, str(tmp_path / "r"), "k")
+    assert one_file(tmp_path / "r").startswith('"k","note","tags"\n"a","","[]"\n')
+    back = files.read_review(spark, str(tmp_path / "r"), df.columns, ("tags",))
+    assert sorted(back.collect()) == sorted(df.collect())
+    nulls = spark.createDataFrame([("b", None, None), ("a", "x,y", ["t"])], df.schema)
+    files.write_seed(nulls, str(tmp_path / "s"), "k")
+    assert sorted(files.read_seed(spark, str(tmp_path / "s"), ("tags",)).collect()) == sorted(nulls.collect())
+    files.write_tsv(spark.createDataFrame([(" x ",)], "a string"), str(tmp_path / "t"))
+    assert " x " in one_file(tmp_path / "t").splitlines()
+
+
+def test_report(spark):
+    wrong = spark.createDataFrame([("a|b", "x\ny", None)], "rule string, note string, n long")
+    text = files.markdown("Checks", {"Errors": wrong, "Warnings": wrong.where("false")})
+    assert text == "# Checks\n\n## Errors\n\n| rule | note | n |\n| - | - | - |\n| a\\|b | x y |  |\n\n## Warnings\n\nnone\n"
+    with pytest.raises(ValueError):
+        files.markdown("Checks", {"Errors": wrong}, most=0)
+
+
 def drained(df, mode, name):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
     q.processAllAvailable()
@@ -99,3 +144,6 @@ def test_paged_source(spark, tmp_path):
     spark.dataSource.register(paged.PagedPosts)
     stream = spark.readStream.format("paged_posts").option("path", str(tmp_path)).load()
     assert sorted((r.id, r.text) for r in drained(stream, "append", "posts")) == [(1, "a"), (2, "b"), (10, "c")]
+    (tmp_path / "10.json").write_text(json.dumps({"posts": [{"id": "10", "text": "c"}]}))
+    with pytest.raises(Exception, match="does not get past id 10"):
+        drained(stream, "append", "looped")
