@@ -269,11 +269,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links (a, b) of those ``pairs`` (ha, hb, a, b) whose texts, told by hash, are similar enough."""
+def _alike(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b) of those ``pairs`` (ha, hb, a, b) whose texts, told by hash, are similar enough.
+
+    Each text is fetched from its first document: rows are dealt by id and hash, so
+    those of a text with very many copies don't meet in a task.
+    """
     pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
-    held = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).join(wanted, "h").dropDuplicates(["h"])
+    firsts = sketches.groupBy("h").agg(F.min("doc_id").alias("first"))
+    wanted = pairs.select(F.explode(F.array("ha", "hb")).alias("th")).distinct().join(firsts.toDF("th", "first"), "th")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    held = rows.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("th"))).select("h", "text").dropDuplicates(["h"])
     sets = cut(held.mapInArrow(_sets, "h long, s array<long>"))
     both = pairs.join(sets.toDF("ha", "sa"), "ha").join(sets.toDF("hb", "sb"), "hb")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -284,7 +290,7 @@ def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     """(a, b): ``near``, links between fingerprints, and those of similar texts that they don't connect already.
 
-    ``sketches`` holds fp, h, n, bands and odd of each text. In each band's bucket of texts
+    ``sketches`` holds doc_id, fp, h, n, bands and odd of each row's text. In each band's bucket of texts
     all are first compared with the most central of them, the text whose own buckets
     hold most: of a group of near copies that is one with few changes, to which
     nearly all others are similar. What that leaves unconnected is matched in pairs
@@ -304,7 +310,7 @@ def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     members = cut(inside.drop("size").join(hubs, "at"))
     sized = lambda x, y: 5 * F.least(x, y) >= FIFTHS * F.greatest(x, y)
     first = members.where((F.col("root") != F.col("hub.root")) & sized(F.col("n"), F.col("hub.n")))
-    found = _alike(docs, first.select(F.col("h").alias("ha"), F.col("hub.h").alias("hb"), F.col("root").alias("a"), F.col("hub.root").alias("b")))
+    found = _alike(docs, sketches, first.select(F.col("h").alias("ha"), F.col("hub.h").alias("hb"), F.col("root").alias("a"), F.col("hub.root").alias("b")))
     joined = members.drop("hub").join(components(found).toDF("root", "top"), "root", "left").select("at", "h", "n", F.coalesce("top", "root").alias("root"))
     open_ = joined.groupBy("at").agg(F.min("root").alias("r"), F.max("root").alias("most")).where("r != most").select("at")
     left = joined.join(open_, "at")
@@ -315,7 +321,7 @@ def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     near_sets = (5 + FIFTHS) * apart <= (5 - FIFTHS) * (F.col("x.n") + F.col("y.n"))
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.root") < F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & near_sets)
-    rest = _alike(docs, pairs.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb"), F.col("x.root").alias("a"), F.col("y.root").alias("b")))
+    rest = _alike(docs, sketches, pairs.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb"), F.col("x.root").alias("a"), F.col("y.root").alias("b")))
     return near.unionByName(found).unionByName(rest)
 
 
@@ -333,7 +339,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     prints = cut(docs.select("doc_id", F.col("text").cast("string").alias("text"), hashed.alias("h")).mapInArrow(_sketched, f"doc_id {kind}, fp long, h long, n long, bands array<long>, odd array<long>"))
     near = cut(links(prints.select("fp").distinct()))
-    named = _named(prints.select("doc_id", "fp"), similar(docs, prints.where("n > 0").select("fp", "h", "n", "bands", "odd"), near))
+    named = _named(prints.select("doc_id", "fp"), similar(docs, prints.where("n > 0"), near))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")
     first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("_first"))
     kept = first.select(F.col("_first.doc_id").alias("id"), F.col("_first.h").alias("th"))

@@ -129,3 +129,14 @@ def test_parities_never_differ_more_than_sets():
             assert bits <= apart and bits % 2 == apart % 2
             if 5 * common >= 4 * (2 * n - common):  # similar enough, so the bound lets them through
                 assert 9 * bits <= 2 * n
+
+
+def test_stage_takes_copies_of_similar_texts(spark, documents):
+    """Similar texts, each with many copies: under ids of their own, under one id, and without any."""
+    words = [f"w{i}" for i in range(330)]
+    a, b, c = (" ".join(words[k : k + 300]) for k in (0, 14, 28))
+    rows = [(i, a, "s") for i in range(20, 60)] + [(7, b, "s")] * 20 + [(None, c, "s")] * 20
+    kept = op02_simhash.stage(spark, documents(rows), "").collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(7, b)]
+    nameless = op02_simhash.stage(spark, documents([(None, a, "s")] * 20 + [(None, b, "s")] * 20), "").collect()
+    assert len(nameless) == 1 and nameless[0].doc_id is None
