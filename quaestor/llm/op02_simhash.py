@@ -314,7 +314,8 @@ def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     joined = members.drop("hub").join(components(found).toDF("root", "top"), "root", "left").select("at", "h", "n", F.coalesce("top", "root").alias("root"))
     open_ = joined.groupBy("at").agg(F.min("root").alias("r"), F.max("root").alias("most")).where("r != most").select("at")
     left = joined.join(open_, "at")
-    marks = sketches.select("h", "odd").join(left.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("odd").alias("odd"))
+    # Combined before the shuffle: a text's very many copies give one row a partition.
+    marks = sketches.groupBy("h").agg(F.first("odd").alias("odd"))
     left = cut(left.join(marks, "h"))
     apart = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(LONGS)), F.lit(0))
     # 9 * |x - y, y - x| <= |x| + |y| is a Jaccard similarity of FIFTHS / 5 or more.
