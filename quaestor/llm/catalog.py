@@ -12,6 +12,7 @@ from .op07_sharding import op7_sharding
 from .op08_substring import op8_substring_dedup
 from .op09_tokens import op9_token_counts
 from .op10_scoring import op10_lm_scoring
+from .op12_runs import op12_periodic_runs
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL: dict[str, str] = {
