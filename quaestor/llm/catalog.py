@@ -13,6 +13,8 @@ from .op08_substring import op8_substring_dedup
 from .op09_tokens import op9_token_counts
 from .op10_scoring import op10_lm_scoring
 from .op12_runs import op12_periodic_runs
+from .op13_ranking import SQL as RANKING_SQL
+from .op13_ranking import op13_ranked_search
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -26,9 +28,11 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
     "op4_license_scan": LICENSE_SQL,
     "op5_quality": QUALITY_SQL,
+    "op13_ranked_search": RANKING_SQL,
 }
