@@ -12,6 +12,7 @@ from .op07_sharding import op7_sharding
 from .op08_substring import op8_substring_dedup
 from .op09_tokens import op9_token_counts
 from .op10_scoring import op10_lm_scoring
+from .op11_toxicity import op11_toxicity
 from .op12_runs import op12_periodic_runs
 from .op13_ranking import SQL as RANKING_SQL
 from .op13_ranking import op13_ranked_search
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_toxicity": op11_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_ranked_search": op13_ranked_search,
 }
