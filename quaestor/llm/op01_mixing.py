@@ -99,11 +99,13 @@ def settle(units: DataFrame, source: str, key: str, seed: int) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.0, most: float = 3.0, seed: int = 20) -> DataFrame:
     """``docs`` with ``copies``, ``source_size`` and ``target``.
 
-    ``size`` is a long of 0 or more. Rows that agree in key, source and size share
-    one draw, weighted by their number. Null keys and null sources are values like
-    any other. A row of size 0, or of a null size, gets no copy. An empty table
-    gives an empty result. Columns of the three names that ``docs`` may have are
-    replaced, those named _dk, _ds and _dz go. The draw depends on keys, sources, sizes and ``seed`` alone.
+    ``size`` is a long of 0 or more. Of ``n`` rows that agree in key, source and size,
+    as many take one copy more as ``n`` times their fraction makes whole; what is left
+    is one document's draw. Null keys and null sources are values like any other. A
+    row of size 0, or of a null size, gets no copy. An empty table gives an empty
+    result. Columns of the three names that ``docs`` may have are replaced, those that
+    begin with _d go. The draw depends on keys, sources, sizes and ``seed`` alone, and
+    which of several such rows take more on what else they hold.
     """
     base = docs.select(F.col(key).alias("_key"), F.col(source).alias("_src"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
     units = cut(base.groupBy("_key", "_src", "size").agg(F.count("*").alias("rows")))
@@ -117,17 +119,35 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     whole = F.when(F.abs(F.col("rate") - near) < 1e-9, near).otherwise(F.floor("rate"))
     part = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))
     buckets = F.ceil(F.col("_n") / BUCKET)
-    rated = u.join(g, F.col("u._src").eqNullSafe(F.col("g._gs"))).drop("_gs").withColumn("rate", rate).withColumn("whole", whole.cast("int")).withColumn("part", part)
-    rated = rated.withColumn("mass", (F.col("size") * F.col("rows")).cast("double")).withColumn("h", F.xxhash64("_key", "_src", "size", F.lit(seed)))
-    rated = cut(rated.withColumn("x", F.col("mass") * F.col("part")).withColumn("bucket", F.pmod(F.xxhash64("h"), buckets)).drop("rate", "_n"))
+    rated = u.join(g, F.col("u._src").eqNullSafe(F.col("g._gs"))).drop("_gs").withColumn("rate", rate).withColumn("whole", whole.cast("int")).withColumn("share", part * F.col("rows"))
+    rated = rated.withColumn("granted", F.floor(F.col("share") + 1e-9)).withColumn("part", F.greatest(F.col("share") - F.col("granted"), F.lit(0.0)))
+    rated = rated.withColumn("mass", F.col("size").cast("double")).withColumn("h", F.xxhash64("_key", "_src", "size", F.lit(seed)))
+    rated = cut(rated.withColumn("x", F.col("mass") * F.col("part")).withColumn("bucket", F.pmod(F.xxhash64("h"), buckets)).drop("rate", "share", "_n"))
     drawn = rated.where((F.col("part") > 0) & (F.col("mass") > 0))
     taken = settle(drawn, "_src", "_key", seed).select(F.col("_key").alias("_tk"), F.col("_src").alias("_ts"), F.col("size").alias("_tz"), "take")
     same = F.col("_key").eqNullSafe(F.col("_tk")) & F.col("_src").eqNullSafe(F.col("_ts")) & (F.col("size") == F.col("_tz"))
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.coalesce("take", F.lit(0)))
-    decided = rated.join(taken, same, "left").select(F.col("_key").alias("_dk"), F.col("_src").alias("_ds"), F.col("size").alias("_dz"), copies.cast("int").alias("copies"), "source_size", "target")
-    rows = without(docs, "copies", "source_size", "target", "_dk", "_ds", "_dz")
-    match = rows[key].eqNullSafe(F.col("_dk")) & rows[source].eqNullSafe(F.col("_ds")) & (F.coalesce(rows[size].cast("long"), F.lit(0)) == F.col("_dz"))
-    return rows.join(decided, match).drop("_dk", "_ds", "_dz")
+    no = F.col("size") == 0
+    decided = rated.join(taken, same, "left").select(F.col("_key").alias("_dk"), F.col("_src").alias("_ds"), F.col("size").alias("_dz"), F.col("rows").alias("_dn"), F.when(no, 0).otherwise(F.col("whole")).alias("copies"), F.when(no, 0).otherwise(F.col("granted") + F.coalesce("take", F.lit(0))).alias("_dx"), "source_size", "target")
+    repeated = not units.where("rows > 1").isEmpty()
+    decided = cut(decided) if repeated else decided
+    rows = without(docs, "copies", "source_size", "target", "_dk", "_ds", "_dz", "_dn", "_dx", "_dh", "_di", "_dp", "_d0")
+
+    def given(of: DataFrame) -> DataFrame:
+        match = rows[key].eqNullSafe(F.col("_dk")) & rows[source].eqNullSafe(F.col("_ds")) & (F.coalesce(rows[size].cast("long"), F.lit(0)) == F.col("_dz"))
+        return rows.join(of, match)
+
+    once = given(decided.where("_dn = 1") if repeated else decided).withColumn("copies", (F.col("copies") + F.col("_dx")).cast("int"))
+    out = once.drop("_dk", "_ds", "_dz", "_dn", "_dx")
+    if not repeated:
+        return out
+    # Of rows that agree, the first in this order take one copy more; ranges split them, however many there are.
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    many = given(decided.where("_dn > 1")).withColumns({"_dh": F.xxhash64(*plain), "_di": F.monotonically_increasing_id()})
+    many = cut(running(many, [F.col(c) for c in ("_dk", "_ds", "_dz", "_dh", "_di")], _dp=F.lit(1)))
+    first = many.groupBy(F.col("_dk").alias("_tk"), F.col("_ds").alias("_ts"), F.col("_dz").alias("_tz")).agg(F.min("_dp").alias("_d0"))
+    placed = many.join(first, F.col("_dk").eqNullSafe(F.col("_tk")) & F.col("_ds").eqNullSafe(F.col("_ts")) & (F.col("_dz") == F.col("_tz")))
+    more = placed.withColumn("copies", (F.col("copies") + (F.col("_dp") - F.col("_d0") < F.col("_dx")).cast("int")).cast("int"))
+    return out.unionByName(more.select(*out.columns))
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -145,8 +165,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` mixed to the weights: a document stands there as often as the mix takes it, its columns unchanged, whatever their names.
 
     Null keys and sources are values like any other; texts without words are taken
-    by no mix; rows that agree in id, source and size share one draw. An empty
-    table gives an empty result.
+    by no mix; of rows that agree in id, source and size as many are taken as their
+    number and fraction make whole, with one draw for what is left. An empty table
+    gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     mixed = mix(boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size)).where("copies > 0")
