@@ -5,8 +5,8 @@ towards the rate of all hosts by a beta prior that is fitted to the hosts
 themselves (by moments), so that a host of few documents isn't condemned by them.
 The verdict on each host is joined back to its documents. DataFrame functions only.
 
-``ruled`` counts base failures alone, as the query's SQL does; ``weighed``, which the
-pipeline uses, adds rules of symbols, repeated lines and lengths of words.
+``ruled`` counts base failures alone; ``weighed``, which the query and the pipeline
+use, adds rules of symbols, repeated lines and lengths of words.
 """
 
 from __future__ import annotations
@@ -142,8 +142,8 @@ def weighed(docs: DataFrame, text: str = "text", host: str = "source", most: flo
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    judged = cut(measured(docs).select("doc_id", "source", *METRICS))
-    return ruled(docs, judged=judged).select("doc_id", *METRICS, F.round("host_rate", 6).alias("host_rate"), "kept")
+    judged = cut(measured(docs).select("doc_id", "source", "n_lines", *METRICS))
+    return weighed(docs, judged=judged).select("doc_id", *METRICS, F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -164,13 +164,18 @@ rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range(8) r(k) GROUP BY rid),
 ln AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 m AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-      len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d JOIN ln USING (rid) LEFT JOIN cov USING (rid)),
-j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM j WHERE source IS NOT NULL GROUP BY 1),
+      len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d JOIN ln USING (rid) LEFT JOIN cov USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+j AS (SELECT *, base_failed OR n_symbols > 0.1::DOUBLE * n_words OR (n_dup_lines >= 3 AND n_dup_lines > 0.3::DOUBLE * n_lines) OR word_chars < 3::DOUBLE * n_words OR word_chars > 10::DOUBLE * n_words AS failed FROM b),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f FROM j WHERE source IS NOT NULL GROUP BY 1),
 p AS (SELECT count(*) AS k, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS fr FROM h),
 q AS (SELECT f / n AS mean, CASE WHEN k > 1 THEN (fr / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * k / n) / greatest(1e-12, 1 - nn / n / n) ELSE 0 END AS excess FROM p),
 s AS (SELECT mean, CASE WHEN excess > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / excess - 1)) ELSE 1e6 END AS strength FROM q),
-v AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND coalesce(rate <= 0.5, true) AS kept
-FROM j LEFT JOIN v USING (source)
+r AS (SELECT source, mean, (f + mean * strength) / (n + strength) AS rate FROM h, s),
+v AS (SELECT source, rate, CASE WHEN rate > 0 THEN greatest(0.5::DOUBLE, least(2::DOUBLE, mean / rate)) ELSE 1 END AS wide FROM r),
+k AS (SELECT j.*, rate, coalesce(wide, 1)::DOUBLE AS wide FROM j LEFT JOIN v USING (source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate,
+       NOT base_failed AND coalesce(rate <= 0.5, true) AND NOT (n_symbols > 0.1::DOUBLE * wide * n_words OR (n_dup_lines >= 3 AND n_dup_lines > least(0.3::DOUBLE * wide, 1) * n_lines)
+           OR word_chars * wide < 3::DOUBLE * n_words OR word_chars > 10::DOUBLE * wide * n_words) AS kept
+FROM k
 """
