@@ -55,7 +55,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None
     containment is the largest share of a template's distinct shingles in one
     window; first_word is where the first such window begins. Of licenses whose notices
     resemble each other all are reported. Rows that share a key
-    are reported together; empty and null texts and tables give no rows; other
+    are reported together, the windows of each counted, be the rows equal or not; empty and null texts and tables give no rows; other
     columns aren't looked at. Templates are a dict or a table (license, text), each
     license once, of some thousands at most, as they are sent to all tasks. A window
     takes along its own words alone, so the work grows with a text's length, however
@@ -94,11 +94,13 @@ def scanned(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None
     # A window's candidates, each once, before the exact test.
     shingles = F.broadcast(table.select("license", F.col("words").alias("_t")).distinct())
     spelled = lambda words: F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
-    tested = retrieved.groupBy("doc_id", "license", "width", "start", "text").agg(F.first("words").alias("words")).join(shingles, "license")
+    # A repeated row comes once with each band.
+    rows = F.count("*") / F.bit_count(F.bit_or(F.expr("shiftleft(1L, band)")))
+    tested = retrieved.groupBy("doc_id", "license", "width", "start", "text").agg(F.first("words").alias("words"), rows.cast("long").alias("rows")).join(shingles, "license")
     own = F.array_distinct(spelled(F.col("_t")))
     share = let(own, lambda t: F.size(F.array_intersect(t, spelled(F.col("words")))) / F.size(t))
     good = tested.withColumn("containment", share).where(F.col("containment") >= least)
-    return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("start").alias("first_word"))
+    return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.sum("rows").alias("n_windows"), F.min("start").alias("first_word"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

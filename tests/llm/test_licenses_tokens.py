@@ -27,6 +27,16 @@ def test_planted_notices(spark, documents, odd):
     assert L.scanned(documents([])).count() == 0 and L.scanned(docs, templates={}).count() == 0
 
 
+def test_repeated_rows_count_each(spark, documents, tmp_path):
+    text = f"words before {L.TEMPLATES['mit']} and after"
+    documents([(1, text, "s"), (1, text, "s"), (1, f"more {text}", "s"), (2, text, "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = L.op4_license_scan(spark, str(tmp_path)).collect()
+    want = con.execute(L.SQL).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r.n_windows for r in got}) > 1
+
+
 def test_every_template_is_found(spark, documents):
     docs = documents([(i, f"some words before {t} and after", "s") for i, t in enumerate(L.TEMPLATES.values())])
     got = found(L.scanned(docs))
