@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +46,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The shards of a version (the last): shard, path, rows, bytes, since. A row without a shard holds the rows' schema."""
+    """The shards of a version (the last): shard, path, rows, bytes, since. A row without a shard holds the rows' schema. A store without versions has no rows."""
     known = versions(spark, root)
     if not known:
         return spark.createDataFrame([], _MANIFEST)
@@ -121,11 +124,26 @@ def compact(spark: SparkSession, root: str, target: int = TARGET, fanout: int =
         folder, version = f"{root}/data/{uuid.uuid4().hex}", known[-1] + 1
         size = merged.agg(F.sum("bytes")).first()[0]
         # Whole partitions of the scan are put together, without a shuffle.
-        spark.read.schema(schema).parquet(*paths).coalesce(-(-size // target)).write.parquet(folder)
+        with _scanned_by(spark, target):
+            spark.read.schema(schema).parquet(*paths).coalesce(-(-size // target)).write.parquet(folder)
         rest = tiered.where(~F.col("tier").isin(full)).drop("tier").unionByName(shards.where("shard is null"))
         _commit(spark, root, rest.unionByName(_written(spark, folder, schema, version)), version)
 
 
+@contextmanager
+def _scanned_by(spark: SparkSession, size: int) -> Iterator[None]:
+    """While it lasts, scans are cut so that no partition is larger than ``size``, nor made larger for the files' number."""
+    held = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def vacuum(spark: SparkSession, root: str) -> int:
     """Deletes the shards that the last version doesn't have, and the versions before it; returns their number."""
     known, gone = versions(spark, root), 0
@@ -142,9 +160,11 @@ def vacuum(spark: SparkSession, root: str) -> int:
 
 
 def snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The rows of a version (the last), with ``shard``, ``shard_rows``, ``shard_bytes`` and ``since`` in place of columns of these names."""
+    """The rows of a version (the last), with ``shard``, ``shard_rows``, ``shard_bytes`` and ``since`` in place of columns of these names. A store without versions is a ValueError."""
     shards = manifest(spark, root, version)
     header = shards.where("shard is null").first()
+    if header is None:
+        raise ValueError(f"no version in {root}")
     schema = T.StructType.fromJson(json.loads(header["path"]))
     paths = [r["path"] for r in shards.where("shard is not null").select("path").toLocalIterator()]
     rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

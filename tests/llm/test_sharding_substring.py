@@ -34,6 +34,22 @@ def test_store(spark, tmp_path, odd, documents):
         G.append(spark, root, docs.drop("lang"))
 
 
+@pytest.mark.parametrize("target", [1 << 20, 4 << 20])
+def test_merged_files_come_near_the_target(spark, tmp_path, target):
+    root = f"{tmp_path}/{uuid.uuid4().hex}"
+    with pytest.raises(ValueError):
+        G.snapshot(spark, root)
+    noise = np.random.default_rng(1)
+    for _ in range(6):
+        rows = [(i, noise.bytes(900).hex()) for i in range(target // 7000)]
+        G.append(spark, root, spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    G.compact(spark, root, target=target)
+    shards = G.manifest(spark, root).where("shard is not null").collect()
+    merged = [r.bytes for r in shards if r.bytes >= target / 4]
+    assert merged and all(target / 2 <= b <= 1.5 * target for b in merged)
+    assert sum(r.rows for r in shards) == G.snapshot(spark, root).count() == 6 * (target // 7000)
+
+
 def test_two_writers(spark, tmp_path, documents):
     root = f"{tmp_path}/{uuid.uuid4().hex}"
     G.append(spark, root, documents([(1, "a", "s")]))
