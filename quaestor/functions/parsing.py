@@ -34,13 +34,16 @@ def markdown_sections(docs: DataFrame, key: str, text: str, default: str, skippe
     return body.select(key, "section", F.col("under").alias("heading"), content.alias("content")).where("content != ''")
 
 
+# A line of a reply (item, separators, topic), and what may decorate a topic.
+ASSIGNED = r"^([0-9]+)[\s\x{3000}:→-]+(\S+)"
+DECORATION = "[`\"'.,;]"
+
+
 def assignments(replies: DataFrame, key: str, text: str, size: int, valid: tuple[str, ...]) -> DataFrame:
-    """(key, item, topic) for items 1 to ``size``: the topic that an item's last line names, if it is valid."""
-    # A line is a number, a separator of any other characters, and a word.
-    lines = replies.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("parts", F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}_]+"), 0))
-    number = F.get("parts", F.lit(0)).try_cast("long")
-    named = lines.where(number.isNotNull() & F.trim("line").startswith(F.get("parts", F.lit(0)))).select(key, "n", number.alias("item"), F.get("parts", F.lit(1)).alias("token")).where("token is not null")
-    last = named.groupBy(key, "item").agg(F.max_by("token", "n").alias("token"))
+    """(key, item, topic) for items 1 to ``size``: the topic that an item's last line names, if it is valid; lines of another form say nothing."""
+    lines = replies.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("line", F.regexp_replace("line", r"^[\s\x{3000}]+|[\s\x{3000}]+$", ""))
+    said = lines.where(F.col("line").rlike(ASSIGNED)).select(key, "n", F.regexp_extract("line", ASSIGNED, 1).try_cast("long").alias("item"), F.regexp_replace(F.regexp_extract("line", ASSIGNED, 2), DECORATION, "").alias("token"))
+    last = said.groupBy(key, "item").agg(F.max_by("token", "n").alias("token"))
     items = replies.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long"))).alias("item"))
     return items.join(last, [key, "item"], "left").select(key, "item", F.when(F.col("token").isin(*valid), F.col("token")).alias("topic"))
 

@@ -92,9 +92,14 @@ def json_kind(text: Column) -> Column:
     return F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").when(kind == "VOID", "NULL").otherwise(kind)
 
 
+# The characters that candidates write as one middle dot, and as one dash.
+MIDDLE_DOTS = "[･·]"
+DASHES = "[‐‑‒–—―ｰー]"
+
+
 def normalize_candidate(text: Column) -> Column:
-    """For candidates: NFKC, without spaces, one middle dot and one dash for all."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(nfkc(text), r"\s+", ""), "[･•‧∙⋅]", "・"), "[‐‑‒–—―−]", "-")
+    """For candidates: NFKC, without spaces, one middle dot and one dash for all, long vowel marks among the dashes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(nfkc(text), r"[\s\x{A0}\x{3000}]+", ""), MIDDLE_DOTS, "・"), DASHES, "-")
 
 
 def normalize_person(name: Column) -> Column:

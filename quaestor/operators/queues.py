@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .ranges import placed
 
 
 def captured(own: DataFrame, related: list[DataFrame], existing: DataFrame, key: str) -> DataFrame:
@@ -30,19 +31,14 @@ def skip_rule(targets: Column, running: Column, done: Column, newest: Column) ->
 
 
 def in_chunks(df: DataFrame, order: str, size: int) -> DataFrame:
-    """``df`` with ``chunk``, its place in the order over ``size``. Rows are numbered in ranges, whose counts alone meet in one task."""
+    """``df`` with ``chunk``, its place in the order over ``size``. Rows are numbered in sampled ranges, whose counts alone meet in one task; nulls come last."""
     place = ordinal(df, order).withColumn("chunk", F.floor((F.col("n") - 1) / size).cast("long"))
     return place.drop("n")
 
 
-def ordinal(df: DataFrame, order: str, ranges: int = 200) -> DataFrame:
-    """``df`` with ``n``, each row's place by a unique number, from 1."""
-    span = df.agg(F.min(order).alias("_low"), F.greatest(F.lit(1), F.ceil((F.max(order) - F.min(order) + 1) / ranges)).alias("_wide"))
-    dealt = df.join(F.broadcast(span)).withColumn("_r", F.floor((F.col(order) - F.col("_low")) / F.col("_wide"))).drop("_low", "_wide")
-    earlier = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_r").agg(F.count("*").alias("_k")).select("_r", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_o"))
-    within = F.row_number().over(W.partitionBy("_r").orderBy(order))
-    return dealt.join(F.broadcast(offsets), "_r").withColumn("n", (within + F.col("_o")).cast("long")).drop("_r", "_o")
+def ordinal(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``n``, each row's place by a column of any type that sorts, from 1; nulls come last, in no order of their own."""
+    return placed(df.withColumn("_null", F.col(order).isNull()), [F.col("_null"), F.col(order)]).drop("_null")
 
 
 def ordinal_range(df: DataFrame, order: str, first: int, last: int, done: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranges import last_before
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``. A struct maximum is combined before the shuffle where the order allows; a window serves any order."""
@@ -39,20 +41,15 @@ def tercile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(bounds, keys).withColumn("tier", tier).drop("_low", "_high")
 
 
-def as_of(points: DataFrame, starts: DataFrame, key: str, ranges: int = 400) -> DataFrame:
-    """``points`` with ``start``, the largest key of ``starts`` that isn't above their own; those before all starts go.
+def as_of(points: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """``points`` with ``start``, the largest key of ``starts`` that isn't above their own, of any type that sorts; those before all starts go, as do null keys.
 
-    Only distinct keys are sorted, in ranges of equal width whose last starts are
-    carried on; a key that very many points share is met by a plain join.
+    Only distinct keys are sorted, in sampled ranges whose last starts are carried on;
+    a key that very many points share is met by a plain join.
     """
-    keys, firsts = points.select(F.col(key).alias("_k")).distinct(), starts.select(F.col(key).alias("_k")).distinct()
-    both = keys.withColumn("_s", F.lit(None).cast("long")).unionByName(firsts.withColumn("_s", F.col("_k").cast("long")))
-    span = both.agg(F.min("_k").alias("low"), F.max("_k").alias("high")).select("low", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / ranges)).alias("width"))
-    dealt = both.join(F.broadcast(span)).withColumn("_r", F.floor((F.col("_k") - F.col("low")) / F.col("width")))
-    # One row a range, a fixed number of them.
-    before = dealt.groupBy("_r").agg(F.max("_s").alias("_m")).select("_r", F.max("_m").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
-    within = F.max("_s").over(W.partitionBy("_r").orderBy("_k", F.col("_s").isNull()).rowsBetween(W.unboundedPreceding, 0))
-    found = dealt.join(F.broadcast(before), "_r").select("_k", F.col("_s").isNull().alias("_point"), F.coalesce(within, F.col("_b")).alias("start")).where("_point and start is not null").drop("_point")
+    keys, firsts = points.select(F.col(key).alias("_k")).where("_k is not null").distinct(), starts.select(F.col(key).alias("_k")).where("_k is not null").distinct()
+    both = keys.select("_k", F.lit(1).alias("_point"), F.lit(None).cast(firsts.schema[0].dataType).alias("_s")).unionByName(firsts.select("_k", F.lit(0).alias("_point"), F.col("_k").alias("_s")))
+    found = last_before(both, [F.col("_k"), F.col("_point")], "_s", "start").where("_point = 1 and start is not null").select("_k", "start")
     return points.join(found, F.col(key) == F.col("_k")).drop("_k")
 
 
@@ -67,16 +64,18 @@ def set_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parents: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
-    """(rule, violations) for (rule, column, parent, its key): rows whose reference is missing, zeros included.
+    """(rule, violations) for (rule, column, parent, its key): rows whose reference is missing or null, zeros included.
 
-    The child is read once; its references are counted before they meet the parents.
+    Each column's references are counted before they meet their own parent, under
+    their own type; so a small parent is broadcast though another one is large.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("k")) for rule, c, _, _ in parents]))
-    held = child.select(pairs.alias("p")).groupBy("p.rule", "p.k").agg(F.count("*").alias("n"))
-    known = reduce(DataFrame.unionByName, [p.select(F.lit(rule).alias("rule"), F.col(k).cast("string").alias("k")) for rule, _, p, k in parents])
-    missing = held.join(known, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("n").alias("violations"))
-    rules = child.sparkSession.createDataFrame([(rule,) for rule, *_ in parents], "rule string")
-    return rules.join(missing, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+
+    def broken(rule: str, column: str, parent: DataFrame, key: str) -> DataFrame:
+        held = child.groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("n"))
+        missing = held.join(parent.select(F.col(key).alias("_p")), F.col("_k") == F.col("_p"), "left_anti")
+        return missing.agg(F.lit(rule).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
+
+    return reduce(DataFrame.unionByName, [broken(*p) for p in parents])
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -179,12 +179,10 @@ def claim_jobs(t: Tables) -> DataFrame:
     return R.claimed(jobs, F.lit("1997-01-01").cast("timestamp_ntz"), 25).select("job_id")
 
 
-@query("""
-SELECT e.event_id, e.event_type, s.s_suppkey FROM (SELECT *, event_id % 1000 AS k FROM events) e ASOF JOIN (SELECT s_suppkey FROM supplier) s ON e.k >= s.s_suppkey""")
-def session_of_date(t: Tables) -> DataFrame:
-    """The latest start at or before each point."""
-    points = t.events.select("event_id", "event_type", (F.col("event_id") % 1000).alias("k"))
-    return R.as_of(points, t.supplier.select(F.col("s_suppkey").alias("k")), "k").select("event_id", "event_type", F.col("start").alias("s_suppkey"))
+@query("SELECT event_id, error_at FROM (SELECT event_id, ts FROM events) e ASOF JOIN (SELECT DISTINCT ts AS error_at FROM events WHERE event_type = 'error') s ON e.ts >= s.error_at")
+def last_error(t: Tables) -> DataFrame:
+    """The latest error at or before each event."""
+    return R.as_of(t.events.select("event_id", "ts"), t.events.where("event_type = 'error'").select("ts"), "ts").select("event_id", F.col("start").alias("error_at"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 14 THEN 'approved' WHEN p_size >= 35 THEN 'rejected' ELSE 'pending' END AS moderation, p_size <= 14 AND p_retailprice >= 1200 AS auto_publish FROM part")

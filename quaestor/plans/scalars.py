@@ -17,11 +17,11 @@ def normalized_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.normalize_search(F.col("p_name")).alias("search"), X.normalize_council(F.concat("p_name", F.lit("  "), "p_type")).alias("council"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(left(text, 30)), '\s+', '', 'g'), '[‐‑‒–—―−]', '-', 'g') AS name FROM documents WHERE NOT regexp_matches(left(text, 30), '[^\x00-\x7F]')")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(nfc_normalize(translate(text, '.;-', '···')), '·', '・'), '\s+', '', 'g'), '[‐‑‒–—―ー]', '-', 'g') AS name FROM documents")
 def candidate_names(t: Tables) -> DataFrame:
-    """Names without spaces, with one kind of dash."""
-    head = F.substring("text", 1, 30)
-    return t.documents.where(~head.rlike(r"[^\x00-\x7F]")).select("doc_id", X.normalize_candidate(head).alias("name"))
+    """Whole texts, written with full-width letters, middle dots and long vowel marks, without blanks and with one kind of dot and dash."""
+    wide = F.translate("text", "aeio.;-", "ａｅｉｏ･·･")
+    return t.documents.select("doc_id", X.normalize_candidate(wide).alias("name"))
 
 
 @query("SELECT c_custkey, regexp_replace(c_name || ' (x y)', '\\([^)]*\\)|\\s', '', 'g') AS person, split_part(c_name || ' Doe', ' ', -1) AS family, replace(c_mktsegment || ' 委員会', '委員会', '') AS term FROM customer")
@@ -30,14 +30,20 @@ def person_names(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.normalize_person(F.concat("c_name", F.lit(" (x y)"))).alias("person"), X.family_name_last(F.concat("c_name", F.lit(" Doe"))).alias("family"), X.committee_term(F.concat("c_mktsegment", F.lit(" 委員会"))).alias("term"))
 
 
-@query("SELECT p_partkey, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ', ' || p_type || '. ' || p_name), '[\\s,.]+'), lambda w: length(w) BETWEEN 2 AND 40 AND w <> 'red')), '') AS x, len(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ', ' || p_type || '. ' || p_name), '[\\s,.]+'), lambda w: length(w) BETWEEN 2 AND 40 AND w <> 'red')))::BIGINT AS n FROM part".replace("array_to_string(list_distinct(", "array_to_string(list_sort(list_distinct(").replace("w <> 'red')), '') AS x", "w <> 'red'))), '') AS x"))
+@query("""
+WITH w AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ', ' || p_type || '. ' || p_name), '[\\s,.]+'), lambda w: length(w) BETWEEN 2 AND 40 AND w <> 'red')) AS terms FROM part)
+SELECT p_partkey, array_to_string(list_sort(terms), '') AS x, len(terms)::BIGINT AS n FROM w""")
 def search_terms(t: Tables) -> DataFrame:
     """A query's distinct terms less stop words."""
     terms = X.query_terms(F.concat("p_name", F.lit(", "), "p_type", F.lit(". "), "p_name"), ("red",))
     return t.part.select("p_partkey", F.array_join(F.sort_array(terms), "").alias("x"), F.size(terms).cast("long").alias("n"))
 
 
-@query("SELECT p_partkey, array_to_string(list_distinct(flatten([[p_type], CASE p_type WHEN 'LARGE' THEN ['BIG', 'HUGE'] WHEN 'SMALL' THEN ['TINY', 'SMALL'] ELSE [] END, [p_brand]])), ',') AS terms FROM part WHERE p_type <> 'SMALL' UNION ALL SELECT p_partkey, 'SMALL,TINY,' || p_brand FROM part WHERE p_type = 'SMALL'".replace("array_to_string(list_distinct(flatten(", "array_to_string((flatten("))
+@query("""
+WITH a(tag, aliases) AS (VALUES ('LARGE', ['BIG', 'HUGE']), ('SMALL', ['TINY', 'SMALL'])),
+u AS (SELECT p_partkey, unnest(list_concat([p_type], coalesce(aliases, []), [p_brand])) AS term, generate_subscripts(list_concat([p_type], coalesce(aliases, []), [p_brand]), 1) AS i FROM part LEFT JOIN a ON tag = p_type),
+f AS (SELECT p_partkey, term, min(i) AS i FROM u GROUP BY ALL)
+SELECT p_partkey, string_agg(term, ',' ORDER BY i) AS terms FROM f GROUP BY 1""")
 def expanded_queries(t: Tables) -> DataFrame:
     """Terms and their aliases, each once, in order."""
     aliases = F.create_map(F.lit("LARGE"), F.array(F.lit("BIG"), F.lit("HUGE")), F.lit("SMALL"), F.array(F.lit("TINY"), F.lit("SMALL")))
@@ -51,10 +57,15 @@ def canonical_tags(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.canonical_tag(F.concat(F.lit(" "), "p_type"), aliases, ("SMALL", "LARGE")).alias("tag"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AS valid FROM embeddings")
+@query("""
+WITH v AS (SELECT vec_id, CASE WHEN embedding[1] > 0.1 THEN embedding[1:63] WHEN embedding[2] > 0.1 THEN list_transform(embedding, lambda x: x / (CASE WHEN x > 0.2 THEN 0 ELSE 1 END)::FLOAT) ELSE embedding END AS e FROM embeddings)
+SELECT vec_id, len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid FROM v""")
 def vector_validity(t: Tables) -> DataFrame:
-    """Whether vectors have their dimension and finite numbers."""
-    return t.embeddings.select("vec_id", X.valid_vector(F.col("embedding"), 64).alias("valid"))
+    """Whether vectors have their dimension and finite numbers; some are cut short here, and some divided by zero."""
+    e = F.col("embedding")
+    broken = F.transform(e, lambda x: F.when(x > 0.2, F.lit(float("inf"))).otherwise(x))
+    made = F.when(e[0] > 0.1, F.slice(e, 1, 63)).when(e[1] > 0.1, broken).otherwise(e)
+    return t.embeddings.select("vec_id", X.valid_vector(made, 64).alias("valid"))
 
 
 @query("SELECT p_brand, array_to_string(list_transform(range(0, CAST(ceil(len(l) / 10.0) AS BIGINT)), lambda i: array_to_string(l[i * 10 + 1:i * 10 + 10], ',')), ';') AS pieces FROM (SELECT p_brand, list_sort(list(p_partkey)) AS l FROM part GROUP BY 1)")
@@ -146,11 +157,19 @@ def extracted_statements(t: Tables) -> DataFrame:
     return P.statements(t.nation.select("n_nationkey", md.alias("md")), "n_nationkey", "md", "Statements")
 
 
-@query("SELECT n_nationkey, k.item::BIGINT AS item, CASE k.item WHEN 1 THEN 't1' WHEN 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 't0' ELSE 't1' END END AS topic FROM nation, (VALUES (1), (2), (3)) k(item)")
+@query("""
+WITH l AS (SELECT l_orderkey, (l_linenumber, l_partkey, l_suppkey) AS n, CAST(l_quantity AS BIGINT) % 9 AS item, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL WHEN l_suppkey % 7 = 6 THEN 'null' ELSE 'topic-' || (l_suppkey % 7) END AS token FROM lineitem),
+last AS (SELECT l_orderkey, item, arg_max(token, n) AS token FROM l WHERE token IS NOT NULL AND item BETWEEN 1 AND 7 GROUP BY ALL),
+i AS (SELECT DISTINCT l_orderkey, k AS item FROM lineitem, range(1, 8) r(k))
+SELECT l_orderkey, item, CASE WHEN token IN ('topic-0', 'topic-1', 'topic-2', 'topic-3') THEN token END AS topic FROM i LEFT JOIN last USING (l_orderkey, item)""")
 def parsed_assignments(t: Tables) -> DataFrame:
-    """Topics that a reply's lines give to items; an item's last line counts, unknown topics give null."""
-    reply = F.concat(F.lit("1\t`t1`\n2: t9\n2 - t"), (F.col("n_nationkey") % 2).cast("string"), F.lit("\n3 → t7\n9 t1\nnonsense"))
-    return P.assignments(t.nation.select("n_nationkey", reply.alias("r")), "n_nationkey", "r", 3, ("t0", "t1"))
+    """Topics that a reply's lines give to items: separators and decoration vary, an item's last line counts, lines with a dot after the number say nothing, unknown topics give null."""
+    item, k = (F.col("l_quantity").cast("long") % 9).cast("string"), F.col("l_suppkey") % 7
+    topic = F.when(k == 6, "null").when(k % 2 == 0, F.concat(F.lit("`topic-"), k, F.lit("`,"))).otherwise(F.concat(F.lit("topic-"), k))
+    line = F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.concat(item, F.lit(". "), topic)).when(F.col("l_suppkey") % 3 == 0, F.concat(item, F.lit(" → "), topic)).when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit("  "), item, F.lit(": "), topic, F.lit(" (sure)"))).otherwise(F.concat(item, F.lit("\t"), topic))
+    replies = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("l"))
+    reply = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return P.assignments(replies.select("l_orderkey", reply.alias("r")), "l_orderkey", "r", 7, ("topic-0", "topic-1", "topic-2", "topic-3"))
 
 
 @query("SELECT event_id, 'said ' || event_id AS text, CASE WHEN event_id % 2 = 0 THEN 'summary' END AS stage, event_id % 5 = 0 AS has_report FROM events WHERE event_id % 7 > 0 UNION ALL SELECT event_id, 'plain ' || event_id, NULL, false FROM events WHERE event_id % 7 = 0")
