@@ -36,9 +36,9 @@ def in_chunks(df: DataFrame, order: str, size: int) -> DataFrame:
     return place.drop("n")
 
 
-def ordinal(df: DataFrame, order: str) -> DataFrame:
+def ordinal(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """``df`` with ``n``, each row's place by a column of any type that sorts, from 1; nulls come last, in no order of their own."""
-    return placed(df.withColumn("_null", F.col(order).isNull()), [F.col("_null"), F.col(order)]).drop("_null")
+    return placed(df.withColumn("_null", F.col(order).isNull()), [F.col("_null"), F.col(order)], ranges=ranges).drop("_null")
 
 
 def ordinal_range(df: DataFrame, order: str, first: int, last: int, done: DataFrame) -> DataFrame:

@@ -23,23 +23,23 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(df: DataFrame, order: list[Column]) -> DataFrame:
+def dealt(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
     """``df`` dealt by sampled ranges of an order and kept, with ``_range``: every row of a range sorts before those of the next."""
-    return kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return kept(df.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("_range", F.spark_partition_id()))
 
 
-def placed(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+def placed(df: DataFrame, order: list[Column], name: str = "n", ranges: int | None = None) -> DataFrame:
     """``df`` with each row's place in an order, from 1; one number a range meets in one task."""
-    parts = dealt(df, order)
+    parts = dealt(df, order, ranges)
     counts = parts.groupBy("_range").agg(F.count("*").alias("_k"))
     offsets = counts.select("_range", F.coalesce(F.sum("_k").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return parts.join(F.broadcast(offsets), "_range").withColumn(name, (within + F.col("_o")).cast("long")).drop("_range", "_o")
 
 
-def last_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+def last_before(df: DataFrame, order: list[Column], value: str, name: str, ranges: int | None = None) -> DataFrame:
     """``df`` with the last value that isn't null at or before each row of an order of ascending columns; one value a range meets in one task."""
-    parts = dealt(df, order)
+    parts = dealt(df, order, ranges)
     ends = parts.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(*[c.desc() for c in order]))).where("_n = 1").select("_range", F.col(value).alias("_last"))
     every = parts.select("_range").distinct().join(ends, "_range", "left")
     carried = every.select("_range", F.last("_last", True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))

@@ -41,7 +41,7 @@ def tercile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(bounds, keys).withColumn("tier", tier).drop("_low", "_high")
 
 
-def as_of(points: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+def as_of(points: DataFrame, starts: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """``points`` with ``start``, the largest key of ``starts`` that isn't above their own, of any type that sorts; those before all starts go, as do null keys.
 
     Only distinct keys are sorted, in sampled ranges whose last starts are carried on;
@@ -49,7 +49,7 @@ def as_of(points: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """
     keys, firsts = points.select(F.col(key).alias("_k")).where("_k is not null").distinct(), starts.select(F.col(key).alias("_k")).where("_k is not null").distinct()
     both = keys.select("_k", F.lit(1).alias("_point"), F.lit(None).cast(firsts.schema[0].dataType).alias("_s")).unionByName(firsts.select("_k", F.lit(0).alias("_point"), F.col("_k").alias("_s")))
-    found = last_before(both, [F.col("_k"), F.col("_point")], "_s", "start").where("_point = 1 and start is not null").select("_k", "start")
+    found = last_before(both, [F.col("_k"), F.col("_point")], "_s", "start", ranges).where("_point = 1 and start is not null").select("_k", "start")
     return points.join(found, F.col(key) == F.col("_k")).drop("_k")
 
 

@@ -57,7 +57,7 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, least: float = -1.0, inde
     Exact without an ``index``; with one (from ``centres``) only rows of a query's
     ``probes`` nearest centres are looked at. Similarities are rounded to nine digits,
     smaller ids come first among equals. Vectors without a direction, nulls among
-    them, and those of another length have no neighbours. Queries pass in blocks of
+    them, have no neighbours; vectors of different lengths are none. Queries pass in blocks of
     ``block``; ids are longs.
     """
     spark = rows.sparkSession
@@ -66,7 +66,8 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, least: float = -1.0, inde
     def answered(ids: list[int], vectors: list[list[float]]) -> DataFrame:
         wanted, good = _matrix(pa.array(vectors, pa.list_(pa.float64())))
         looked = None
-        if index is not None and len(index):
+        # Vectors of another length than the index's are few, and looked at in full.
+        if index is not None and len(index) and index.shape[1] == wanted.shape[1]:
             order = np.argsort(-(wanted @ index.T), axis=1)[:, :probes]
             looked = np.zeros((len(wanted), len(index)), bool)
             np.put_along_axis(looked, order, True, axis=1)
@@ -96,15 +97,20 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, least: float = -1.0, inde
         found = rows.where("id is not null").select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(search, "asked_id long, id long, similarity double")
         return found.withColumn("rank", F.row_number().over(W.partitionBy("asked_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
-    held: list = []
-    for r in asked.where("id is not null and vector is not null").select("id", "vector").toLocalIterator():  # a block at a time
-        held.append(r)
-        if len(held) == block:
-            more = answered([x["id"] for x in held], [x["vector"] for x in held])
-            out, held = more if out is None else out.unionByName(more), []
-    if held:
-        more = answered([x["id"] for x in held], [x["vector"] for x in held])
+    held: dict[int, list] = {}
+
+    def put(some: list) -> None:
+        nonlocal out
+        more = answered([x["id"] for x in some], [x["vector"] for x in some])
         out = more if out is None else out.unionByName(more)
+
+    for r in asked.where("id is not null and size(vector) > 0").select("id", "vector").toLocalIterator():  # a block of one length at a time
+        some = held.setdefault(len(r["vector"]), [])
+        some.append(r)
+        if len(some) == block:
+            put(held.pop(len(r["vector"])))
+    for some in held.values():
+        put(some)
     return out if out is not None else spark.createDataFrame([], "asked_id long, id long, similarity double, rank int")
 
 
