@@ -29,6 +29,8 @@ SHINGLE = 3
 RADIUS = 3
 #: Fingerprints in a bucket above which pairs are no longer formed: from about there, the meeting points cost less.
 DENSE = 1024
+#: Pairs of one text whose sets of shingles are compared in one part.
+SHARE = 500
 _BLOCK = 1 << 17
 #: The stage's shingles, and the similarity (in fifths) from which it links texts.
 WIDE, FIFTHS = 5, 4
@@ -281,7 +283,11 @@ def _alike(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     held = rows.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("th"))).select("h", "text").dropDuplicates(["h"])
     sets = cut(held.mapInArrow(_sets, "h long, s array<long>"))
-    both = pairs.join(sets.toDF("ha", "sa"), "ha").join(sets.toDF("hb", "sb"), "hb")
+    # A text with very many partners goes to them, in parts of SHARE pairs; theirs don't all come to it.
+    parts = pairs.groupBy("hb").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
+    spread = sets.toDF("hb", "sb").join(parts, "hb").select("hb", "sb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "hb").select("ha", "hb", "a", "b", F.pmod(F.xxhash64("ha"), F.col("parts")).cast("int").alias("part"))
+    both = dealt.join(spread, ["hb", "part"]).join(sets.toDF("ha", "sa"), "ha")
     shared = F.size(F.array_intersect("sa", "sb"))
     # i / (n - i) >= FIFTHS / 5, n being both sets' sizes.
     return cut(both.where((5 + FIFTHS) * shared >= FIFTHS * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
@@ -310,18 +316,20 @@ def similar(docs: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
     members = cut(inside.drop("size").join(hubs, "at"))
     sized = lambda x, y: 5 * F.least(x, y) >= FIFTHS * F.greatest(x, y)
     first = members.where((F.col("root") != F.col("hub.root")) & sized(F.col("n"), F.col("hub.n")))
-    found = _alike(docs, sketches, first.select(F.col("h").alias("ha"), F.col("hub.h").alias("hb"), F.col("root").alias("a"), F.col("hub.root").alias("b")))
+    # Combined before the shuffle: a text's very many copies give one row a partition.
+    marks = cut(sketches.groupBy("h").agg(F.first("odd").alias("odd")))
+    first = cut(first.select(F.col("h").alias("ha"), F.col("hub.h").alias("hb"), F.col("root").alias("a"), F.col("hub.root").alias("b"), "n", F.col("hub.n").alias("hn")).distinct())
+    central = first.select("hb").distinct().join(marks.toDF("hb", "hub_odd"), "hb")
+    # 9 * |x - y, y - x| <= |x| + |y| is a Jaccard similarity of FIFTHS / 5 or more.
+    allowed = lambda a, b, n, m: (5 + FIFTHS) * sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(LONGS)), F.lit(0)) <= (5 - FIFTHS) * (F.col(n) + F.col(m))
+    could = first.join(marks.toDF("ha", "odd"), "ha").join(central, "hb").where(allowed("odd", "hub_odd", "n", "hn"))
+    found = _alike(docs, sketches, could.select("ha", "hb", "a", "b"))
     joined = members.drop("hub").join(components(found).toDF("root", "top"), "root", "left").select("at", "h", "n", F.coalesce("top", "root").alias("root"))
     open_ = joined.groupBy("at").agg(F.min("root").alias("r"), F.max("root").alias("most")).where("r != most").select("at")
     left = joined.join(open_, "at")
-    # Combined before the shuffle: a text's very many copies give one row a partition.
-    marks = sketches.groupBy("h").agg(F.first("odd").alias("odd"))
     left = cut(left.join(marks, "h"))
-    apart = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    # 9 * |x - y, y - x| <= |x| + |y| is a Jaccard similarity of FIFTHS / 5 or more.
-    near_sets = (5 + FIFTHS) * apart <= (5 - FIFTHS) * (F.col("x.n") + F.col("y.n"))
     x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.root") < F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & near_sets)
+    pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.root") < F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & allowed("x.odd", "y.odd", "x.n", "y.n"))
     rest = _alike(docs, sketches, pairs.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb"), F.col("x.root").alias("a"), F.col("y.root").alias("b")))
     return near.unionByName(found).unionByName(rest)
 
