@@ -23,12 +23,16 @@ def rows():
 def test_queries(spark, documents, tmp_path):
     docs = documents(rows())
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 9 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, rows()[3][1]), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {k: q(spark, str(tmp_path)).collect() for k, q in catalog.QUERIES.items()}
     by = lambda name: {r.doc_id: r for r in got[name]}
     texts = {k: t for k, t, _ in rows()}
     words = lambda t: (t or "").encode().split()
-    for name in ("op1_mixing", "op2_simhash", "op3_media", "op5_quality", "op6_sentencepiece", "op7_sharding", "op10_lm_scoring"):
+    for name in ("op1_mixing", "op2_simhash", "op3_media", "op5_quality", "op6_sentencepiece", "op7_sharding", "op10_lm_scoring", "op11_toxicity", "op12_periodic_runs"):
         assert len(got[name]) == len(rows()), name
+    best = sorted((r["rank"], r.doc_id) for r in got["op13_ranked_search"])
+    assert len(best) == 10 and best[:2] == [(1, 3), (2, 50)] and {r.item_id for r in got["op13_ranked_search"]} == {0}
     sizes = {}
     for k, t, s in rows():
         sizes[s] = sizes.get(s, 0) + len(words(t))

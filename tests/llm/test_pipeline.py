@@ -33,4 +33,4 @@ def test_stages(spark, documents, tmp_path):
 def test_run_and_catalog(spark, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert [int(k[2:].split("_")[0]) for k in catalog.QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in catalog.QUERIES] == list(range(1, 14))
