@@ -39,13 +39,13 @@ ASSIGNED = r"^([0-9]+)[\s\x{3000}:→-]+(\S+)"
 DECORATION = "[`\"'.,;]"
 
 
-def assignments(replies: DataFrame, key: str, text: str, size: int, valid: tuple[str, ...]) -> DataFrame:
-    """(key, item, topic) for items 1 to ``size``: the topic that an item's last line names, if it is valid; lines of another form say nothing."""
+def assignments(replies: DataFrame, key: str, text: str, size: int, valid: tuple[str, ...] | None) -> DataFrame:
+    """(key, item, topic) for items 1 to ``size``: the topic that an item's last line names, if it is valid (None: any); lines of another form say nothing."""
     lines = replies.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("line", F.regexp_replace("line", r"^[\s\x{3000}]+|[\s\x{3000}]+$", ""))
     said = lines.where(F.col("line").rlike(ASSIGNED)).select(key, "n", F.regexp_extract("line", ASSIGNED, 1).try_cast("long").alias("item"), F.regexp_replace(F.regexp_extract("line", ASSIGNED, 2), DECORATION, "").alias("token"))
     last = said.groupBy(key, "item").agg(F.max_by("token", "n").alias("token"))
     items = replies.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long"))).alias("item"))
-    return items.join(last, [key, "item"], "left").select(key, "item", F.when(F.col("token").isin(*valid), F.col("token")).alias("topic"))
+    return items.join(last, [key, "item"], "left").select(key, "item", (F.col("token") if valid is None else F.when(F.col("token").isin(*valid), F.col("token"))).alias("topic"))
 
 
 def daily_pick(ids: Column, day: Column, size: int = 3) -> Column:
