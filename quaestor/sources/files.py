@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +34,48 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return rows.select(*[cast(f).alias(f.name) for f in schema])
 
 
+def departures(wanted: T.DataType, found: T.DataType, at: str = "$") -> list[str]:
+    """What JSON of the type ``found`` has that ``wanted`` doesn't allow: keys it lacks and values of another kind, by path."""
+    if isinstance(found, T.NullType):
+        return []
+    if isinstance(wanted, T.StructType) and isinstance(found, T.StructType):
+        fields = {f.name: f.dataType for f in wanted}
+        out = [f"unknown key {at}.{f.name}" for f in found if f.name not in fields]
+        return out + [d for f in found if f.name in fields for d in departures(fields[f.name], f.dataType, f"{at}.{f.name}")]
+    if isinstance(wanted, T.ArrayType) and isinstance(found, T.ArrayType):
+        return departures(wanted.elementType, found.elementType, f"{at}[]")
+    if isinstance(wanted, T.MapType) and isinstance(found, T.StructType):
+        return [d for f in found for d in departures(wanted.valueType, f.dataType, f"{at}.{f.name}")]
+    kinds = [(T.NumericType, T.NumericType), (T.BooleanType, T.BooleanType), ((T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType), T.StringType), (T.VariantType, T.DataType)]
+    return [] if any(isinstance(wanted, w) and isinstance(found, f) for w, f in kinds) else [f"{at} isn't of type {wanted.simpleString()} everywhere"]
+
+
+def _json_type(spark: SparkSession, text: str) -> T.DataType:
+    """The type that ``schema_of_variant`` states."""
+    return spark.sql(f"SELECT CAST(NULL AS {re.sub(r'(?<![`A-Za-z0-9_])OBJECT<', 'STRUCT<', text)}) AS v").schema["v"].dataType
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Documents of a JSON file or folder; top-level keys that the schema lacks fail the read."""
-    keys = spark.read.text(path, wholetext=True).select(F.explode(F.when(F.col("value").startswith("["), F.expr("flatten(transform(from_json(value, 'array<map<string,string>>'), m -> map_keys(m)))")).otherwise(F.expr("map_keys(from_json(value, 'map<string,string>'))"))).alias("k"))
-    unknown = [r["k"] for r in keys.where(~F.col("k").isin(schema.names)).distinct().limit(20).collect()]
-    if unknown:
-        raise Malformed(f"unknown keys: {sorted(unknown)}")
+    """Documents of a JSON file or folder, one object or array of objects a file; keys that the schema lacks and values of other kinds, at any depth, fail the read.
+
+    Strings don't stand for numbers, nor the other way round; nulls stand for anything.
+    The files' types are combined before the shuffle, so that one type comes to the
+    driver; only where that departs are single files looked at, to name one.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")).where(F.length(F.trim("value")) > 0)
+    # Every file as an array, so that both kinds of file have one type.
+    listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    held = files.select(F.try_parse_json(listed).alias("v"), "file")
+    broken, found = held.agg(F.min(F.when(F.col("v").isNull(), F.col("file"))), F.expr("schema_of_variant_agg(v)")).first()
+    if broken is not None:
+        raise Malformed(f"{broken} isn't JSON")
+    of = lambda kind: departures(schema, _json_type(spark, kind).elementType)
+    wrong = of(found) if found and found != "VOID" else []
+    if wrong:
+        kinds = held.groupBy(F.expr("schema_of_variant(v)").alias("kind")).agg(F.min("file").alias("file")).orderBy("file").limit(200).collect()
+        each = [(k["file"], d) for k in kinds for d in of(k["kind"])]
+        said = sorted({f"{d} in {f.rsplit('/', 1)[-1]}" for f, d in each}) or wrong
+        raise Malformed("; ".join(said[:20]))
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 

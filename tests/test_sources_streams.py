@@ -89,6 +89,30 @@ def test_sheets(spark, tmp_path):
     assert " x " in one_file(tmp_path / "t").splitlines()
 
 
+def test_strict_json(spark, tmp_path):
+    schema = T.StructType.fromDDL("id long, day date, topics array<struct<slug:string,notes:struct<by:string,n:double,ok:boolean>>>, extra map<string,long>")
+    good = {"id": 1, "day": "2026-01-02", "topics": [{"slug": "a", "notes": {"by": "x", "n": 1, "ok": True}}, {"slug": None, "notes": None}], "extra": {"k": 1}}
+    folder = tmp_path / "j"
+    folder.mkdir()
+    for i in range(12):
+        (folder / f"{i:02}.json").write_text(json.dumps([good, {**good, "id": i}] if i % 2 else {**good, "id": i}))
+    assert files.read_json(spark, str(folder), schema).count() == 18
+    for name, change, said in [
+        ("deep", {"topics": [{"slug": "a", "notes": {"by": "x", "n": 1, "OBJECT<": 5}}]}, r"unknown key \$\.topics\[\]\.notes\.OBJECT< in deep\.json"),
+        ("kind", {"topics": [{"slug": {"a": 1}}]}, r"\$\.topics\[\]\.slug isn't of type string everywhere in kind\.json"),
+        ("text", {"id": "1"}, r"\$\.id isn't of type bigint everywhere in text\.json"),
+        ("map", {"extra": {"k": "v"}}, r"\$\.extra\.k isn't of type bigint"),
+    ]:
+        bad = folder / f"{name}.json"
+        bad.write_text(json.dumps({**good, **change}))
+        with pytest.raises(files.Malformed, match=said):
+            files.read_json(spark, str(folder), schema)
+        bad.write_text("{}")
+    (folder / "broken.json").write_text('{"id": 1')
+    with pytest.raises(files.Malformed, match="broken.json isn't JSON"):
+        files.read_json(spark, str(folder), schema)
+
+
 def test_report(spark):
     wrong = spark.createDataFrame([("a|b", "x\ny", None)], "rule string, note string, n long")
     text = files.markdown("Checks", {"Errors": wrong, "Warnings": wrong.where("false")})
