@@ -165,6 +165,26 @@ def amount(value: Column) -> Column:
     return F.concat(F.when(value < 0, "-").otherwise(""), F.when(size == 0, "0").otherwise(F.concat(part(oku, "億"), part(man, "万"), part(sen, "千"))))
 
 
+def yen(thousands: Column) -> Column:
+    """An amount in thousands of yen in units of 10^8, 10^4 and 10^3 yen, grouped by commas; null beyond 2^53, as a double can't hold it."""
+    v = F.when(F.abs(thousands) < 2**53, F.abs(thousands).cast("long"))
+    oku, man, rest = F.floor(v / 100_000), F.floor(v % 100_000 / 10), v % 10
+    part = lambda n, unit: F.when(n > 0, F.concat(F.format_number(n, 0), F.lit(unit))).otherwise("")
+    said = F.concat(part(oku, "億"), part(man, "万"), part(rest, "千"))
+    return F.when(v.isNotNull(), F.concat(F.when(thousands < 0, "−").otherwise(""), F.when(said == "", "0").otherwise(said), F.lit("円")))
+
+
+def yen_difference(thousands: Column) -> Column:
+    """A difference in thousands of yen with its sign; null beyond 2^53."""
+    v = F.when(F.abs(thousands) < 2**53, thousands.cast("long"))
+    return F.concat(F.when(v > 0, "+").when(v < 0, "−").otherwise(""), F.format_number(F.abs(v), 0), F.lit(" 千円"))
+
+
+def fiscal_year(year: Column) -> Column:
+    """A fiscal year by its era from 2019 on, by its number before."""
+    return F.concat(F.when(year >= 2019, F.concat(F.lit("令和"), (year - 2018).cast("string"))).otherwise(year.cast("string")), F.lit("年度"))
+
+
 def clamp_score(value: Column) -> Column:
     """Rounded half up and held to 0..100; null for null and what is no number."""
     return F.when(value.isNotNull() & ~F.isnan(value), F.least(F.lit(100), F.greatest(F.lit(0), F.floor(value + 0.5)))).cast("int")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranges import placed
+
 
 def session_statistics(rows: DataFrame, ratings: int = 5) -> DataFrame:
     """One row over sessions (respondent, status, began, ended, last, rating, messages, helpful, cost_cents).
@@ -38,7 +40,7 @@ def taxonomy_counts(df: DataFrame, column: str, order: list[str]) -> DataFrame:
 def first_seen_groups(df: DataFrame, group: str, item: str) -> DataFrame:
     """(group, place, items): groups by their smallest item, items in order."""
     grouped = df.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return grouped.select(group, F.row_number().over(W.orderBy(F.get("items", F.lit(0)))).cast("long").alias("place"), "items")
+    return placed(grouped, [F.get("items", F.lit(0)), F.col(group)], "place").select(group, "place", "items")
 
 
 def category_groups(df: DataFrame, category: str, item: str, order: list[str]) -> DataFrame:
@@ -48,9 +50,9 @@ def category_groups(df: DataFrame, category: str, item: str, order: list[str]) -
 
 
 def hits_by_session(hits: DataFrame, session: str, order: str) -> DataFrame:
-    """(session, place, turns): sessions by their newest hit, hits in order. Places are given to sessions of one page's search."""
+    """(session, place, turns): sessions by their newest hit, hits in order. Places come from sampled ranges of the sessions."""
     grouped = hits.groupBy(session).agg(F.max(order).alias("_last"), F.sort_array(F.collect_list(order)).alias("turns"))
-    return grouped.select(session, F.row_number().over(W.orderBy(F.desc("_last"), session)).cast("long").alias("place"), "turns")
+    return placed(grouped, [F.desc("_last"), F.col(session)], "place").select(session, "place", "turns")
 
 
 def distribution(df: DataFrame, value: str, values: list[int]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.operators import catalogue as K
 from quaestor.operators import checks as C
 
 from .registry import Tables, query
@@ -63,12 +64,12 @@ def review_changes(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT p_brand AS topic, p_type AS category, CASE WHEN p_size = 50 THEN 'pending' ELSE 'approve' END AS decision FROM part WHERE p_partkey % 7 = 0),
+WITH r AS (SELECT p_brand AS topic, p_type AS category, CASE WHEN p_size = 50 THEN 'pending' ELSE 'approve' END AS decision FROM part),
 g AS (SELECT topic, count(*) AS n, count(*) FILTER (decision = 'pending') AS pending, max(k) AS most FROM (SELECT *, count(*) OVER (PARTITION BY topic, category) AS k FROM r) GROUP BY 1)
 SELECT topic, CASE WHEN length(topic) > 8 THEN 'name_too_long' WHEN pending > 0 THEN 'pending_rows' WHEN n NOT BETWEEN 1 AND 12 THEN 'rows_out_of_range' WHEN most > 3 THEN 'category_cap' END AS issue FROM g""")
 def publication_policy(t: Tables) -> DataFrame:
     """What stands against a topic's publication, null where nothing does."""
-    rows = t.part.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("topic"), F.col("p_type").alias("category"), F.when(F.col("p_size") == 50, "pending").otherwise("approve").alias("decision"))
+    rows = t.part.select(F.col("p_brand").alias("topic"), F.col("p_type").alias("category"), F.when(F.col("p_size") == 50, "pending").otherwise("approve").alias("decision"))
     return C.policy(rows, longest=8, most=12, cap=3)
 
 
@@ -87,3 +88,32 @@ def seo_audit(t: Tables) -> DataFrame:
 
     rows = t.documents.select("doc_id", F.substring("text", 1, 12).alias("title"), F.col("source").alias("summary"))
     return title_audit(rows, 11, 5).select("doc_id", F.array_join("issues", ",").alias("issues"))
+
+
+#: Each reference of the tables, under its own type.
+_REFERENCES = [('line_part', 'lineitem', 'l_partkey', 'part', 'p_partkey'), ('line_supplier', 'lineitem', 'l_suppkey', 'supplier', 's_suppkey'), ('line_order', 'lineitem', 'l_orderkey', 'orders', 'o_orderkey'), ('order_customer', 'orders', 'o_custkey', 'customer', 'c_custkey'), ('customer_nation', 'customer', 'c_nationkey', 'nation', 'n_nationkey'), ('supplier_nation', 'supplier', 's_nationkey', 'nation', 'n_nationkey'), ('nation_region', 'nation', 'n_regionkey', 'region', 'r_regionkey'), ('label_document', 'labels', 'doc_id', 'documents', 'doc_id'), ('event_customer', 'events', 'user_id', 'customer', 'c_custkey'), ('item_document', 'benchmark', 'item_id', 'documents', 'doc_id'), ('segment_type', 'customer', 'c_mktsegment', 'part', 'p_type')]
+_UNIQUE = [('part_id', 'part', ('p_partkey',)), ('order_id', 'orders', ('o_orderkey',)), ('line_id', 'lineitem', ('l_orderkey', 'l_linenumber')), ('customer_id', 'customer', ('c_custkey',)), ('supplier_name', 'supplier', ('s_name',)), ('document_id', 'documents', ('doc_id',)), ('part_name', 'part', ('p_name', 'p_brand'))]
+
+
+def _rule_sql() -> str:
+    row = "SELECT '{}' AS code, CAST({} AS BIGINT) AS actual, {}::BIGINT AS expected, {}::VARCHAR AS first FROM {}".format
+    parts = [row(code, "count(*)", 0, f"min(c.{column}::VARCHAR)", f"{table} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{column})") for code, table, column, parent, key in _REFERENCES]
+    for code, table, columns in _UNIQUE:
+        name = " || '/' || ".join(f"coalesce({c}::VARCHAR, 'null')" for c in columns)
+        parts.append(row(code, "count(*)", 0, f"min({name})", f"(SELECT {', '.join(columns)} FROM {table} GROUP BY ALL HAVING count(*) > 1)"))
+    cents = "CAST(round({} * 100) AS BIGINT)".format
+    values = [("regions", "count(*)", 5, "region"), ("orders", "count(*)", 15000, "orders"), ("balance", f"sum({cents('c_acctbal')})", 0, "customer"), ("years", "count(*) FILTER (year(l_shipdate) NOT BETWEEN 1992 AND 1998)", 0, "lineitem"), ("open_returns", "count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'R')", 0, "lineitem"), ("no_price", "count(*) FILTER (l_extendedprice IS NULL)", 0, "lineitem")]
+    values += [(f"total:{g}", f"coalesce(sum({cents('l_extendedprice')}) FILTER (l_returnflag = '{g}'), 0)", 0, "lineitem") for g in "AN"] + [("total:other", "count(*) FILTER (l_returnflag NOT IN ('A', 'N'))", 0, "lineitem")]
+    parts += [row(code, found, expected, "NULL", table) for code, found, expected, table in values]
+    return f"SELECT *, CASE WHEN actual IS NOT DISTINCT FROM expected THEN 'PASS' ELSE 'FAIL' END AS result FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_rule_sql())
+def rule_catalogue(t: Tables) -> DataFrame:
+    """A dataset's rules at once: eleven references, seven unique keys, counts, totals by group and rules on rows."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels"]
+    rules = [K.Reference(*r) for r in _REFERENCES] + [K.Unique(*u) for u in _UNIQUE]
+    rules += [K.rows_of("regions", "region", 5), K.rows_of("orders", "orders", 15000), K.Value("balance", "customer", F.sum(cents("c_acctbal")), 0)]
+    rules += [K.never("years", "lineitem", ~F.year("l_shipdate").between(1992, 1998)), K.never("open_returns", "lineitem", (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")), K.never("no_price", "lineitem", F.col("l_extendedprice").isNull())]
+    rules += K.totals("total", "lineitem", "l_returnflag", cents("l_extendedprice"), {"A": 0, "N": 0})
+    return K.checked({n: getattr(t, n) for n in names}, rules)

@@ -1,10 +1,12 @@
-"""Details with nested lists, and a hierarchy of four levels."""
+"""Details with nested lists, a hierarchy of four levels, curation and amounts in words."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.functions import text as X
+from quaestor.operators import curation as K
 from quaestor.operators import nesting as N
 
 from .registry import Tables, query
@@ -108,3 +110,40 @@ def hierarchy_nodes(t: Tables) -> DataFrame:
     rows = _leaves(t).withColumn("kou_name", F.col("l_returnflag"))
     made = N.nodes(rows, [("r_regionkey", "r_name"), ("n_nationkey", "n_name"), ("l_returnflag", "kou_name"), ("s_suppkey", "s_name")], "cents")
     return made.withColumn("path", F.array_join("path", "/"))
+
+
+_TERMS = {1: ["cold", "widget"], 2: ["small", "PROMO", "L"]}
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand AS topic, p_name, p_type, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, ['', 'approve', 'revise', 'reject', 'pending'][p_size % 5 + 1] AS old, p_size % 2 = 0 AS by_policy, p_size % 3 > 0 AND p_size > 5 AS sound,
+    CASE CAST(substring(p_brand, 7) AS INT) % 3 WHEN 1 THEN ['cold', 'widget'] WHEN 2 THEN ['small', 'PROMO', 'L'] ELSE [] END AS terms FROM part),
+s AS (SELECT *, CASE WHEN len(terms) = 0 THEN 0 ELSE list_sum(list_transform(terms, lambda t: (contains(p_name, t))::INT * 16 + (contains(p_type, t))::INT * 6 + (contains(p_brand, t))::INT)) END AS score, regexp_matches(p_name, '^(hot|old)') OR (topic LIKE '%3' AND regexp_matches(p_name, 'small')) AS peripheral FROM r),
+f AS (SELECT *, topic <> 'Brand#7' AND (old IN ('', 'approve', 'revise') OR by_policy) AND sound AND cents > 0 AND NOT peripheral AND (len(terms) = 0 OR score > 0) AS fits FROM s),
+c AS (SELECT *, fits AND row_number() OVER (PARTITION BY topic, fits ORDER BY score DESC, cents DESC, p_partkey) <= 12 AS chosen FROM f)
+SELECT p_partkey, CASE WHEN NOT chosen THEN 'reject' WHEN old = 'revise' THEN 'revise' ELSE 'approve' END AS decision,
+  CASE WHEN topic = 'Brand#7' THEN 'archived' WHEN chosen THEN 'direct' WHEN old = 'reject' AND NOT by_policy THEN 'by_hand' WHEN peripheral THEN 'peripheral' ELSE 'less_direct' END AS reason FROM c""")
+def curated_candidates(t: Tables) -> DataFrame:
+    """Every part's decision in its brand's review: the twelve most direct ones are approved, what a person has rejected stays."""
+    decisions = F.array(*map(F.lit, ["", "approve", "revise", "reject", "pending"]))
+    rows = t.part.select("p_partkey", F.col("p_brand").alias("topic"), "p_name", "p_type", "p_brand", cents("p_retailprice").alias("cents"), F.get(decisions, F.col("p_size") % 5).alias("decision"), (F.col("p_size") % 2 == 0).alias("by_policy"), "p_size")
+    of = F.substring("p_brand", 7, 9).cast("int") % 3
+    terms = F.when(of == 1, F.array(*map(F.lit, _TERMS[1]))).when(of == 2, F.array(*map(F.lit, _TERMS[2])))
+    topics = t.part.select(F.col("p_brand").alias("topic"), terms.alias("terms"), F.when(F.col("p_brand").endswith("3"), "small").alias("excluded"), (F.col("p_brand") == "Brand#7").alias("archived")).distinct()
+    sound = (F.col("p_size") % 3 > 0) & (F.col("p_size") > 5)
+    made = K.curated(rows, topics, "p_partkey", "p_name", "cents", [(F.col("p_name"), 16), (F.col("p_type"), 6), (F.col("p_brand"), 1)], sound, "^(hot|old)")
+    return made.select("p_partkey", "decision", "reason")
+
+
+_GROUPED = "regexp_replace(reverse(regexp_replace(reverse(({0})::VARCHAR), '(...)', '\\1,', 'g')), '^,', '')"
+
+
+@query(f"""
+WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice * 997) AS BIGINT) * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS v, year(o_orderdate) + o_orderkey % 30 AS y FROM orders), a AS (SELECT *, abs(v) AS a FROM v)
+SELECT o_orderkey, CASE WHEN v < 0 THEN '−' ELSE '' END || CASE WHEN a = 0 THEN '0' ELSE CASE WHEN a // 100000 > 0 THEN {_GROUPED.format('a // 100000')} || '億' ELSE '' END || CASE WHEN a % 100000 // 10 > 0 THEN {_GROUPED.format('a % 100000 // 10')} || '万' ELSE '' END || CASE WHEN a % 10 > 0 THEN a % 10 || '千' ELSE '' END END || '円' AS amount,
+  CASE WHEN v > 0 THEN '+' WHEN v < 0 THEN '−' ELSE '' END || {_GROUPED.format('a')} || ' 千円' AS difference, CASE WHEN y >= 2019 THEN '令和' || (y - 2018) ELSE y || '' END || '年度' AS fiscal_year FROM a""")
+def amounts_in_words(t: Tables) -> DataFrame:
+    """Amounts and differences in yen, and fiscal years by era."""
+    factor = F.when(F.col("o_orderkey") % 11 == 0, 0).when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)
+    v = F.floor(F.col("o_totalprice") * 997) * factor
+    return t.orders.select("o_orderkey", X.yen(v).alias("amount"), X.yen_difference(v).alias("difference"), X.fiscal_year(F.year("o_orderdate") + F.col("o_orderkey") % 30).alias("fiscal_year"))

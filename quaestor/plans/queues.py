@@ -72,12 +72,12 @@ def backfill_chunks(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT user_id, min(event_id) AS oldest, count(*) AS n FROM events WHERE event_id % 25 = 0 GROUP BY 1), f AS (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 1 OFFSET 49)
-SELECT user_id, oldest FROM p WHERE oldest > (SELECT event_id FROM f) OR n < 2""")
+WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, min(event_id) AS oldest, count(*) AS n FROM events GROUP BY 1, 2), f AS (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 1 OFFSET 49)
+SELECT user_id, day, oldest FROM p WHERE oldest > (SELECT event_id FROM f) OR n < 2""")
 def bootstrap_continues(t: Tables) -> DataFrame:
-    """Accounts to read on: their oldest post is newer than the fiftieth of all, or they have just one."""
-    p = t.events.where("event_id % 25 = 0").groupBy("user_id").agg(F.min("event_id").alias("oldest"), F.count("*").alias("n"))
-    return Q.behind(p, t.events, "event_id", 50).select("user_id", "oldest")
+    """Accounts (a user's day) to read on: their oldest post is newer than the fiftieth of all, or they have just one."""
+    p = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("oldest"), F.count("*").alias("n"))
+    return Q.behind(p, t.events, "event_id", 50).select("user_id", "day", "oldest")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN user_id + 1000 ELSE user_id END AS user_id FROM events WHERE user_id % 7 > 0")

@@ -76,11 +76,11 @@ def statements_by_member(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT p_type, min(p_partkey) AS first, list(p_partkey ORDER BY p_partkey) AS items FROM part WHERE p_size < 6 GROUP BY 1)
-SELECT p_type, row_number() OVER (ORDER BY first) AS place, array_to_string(items, ',') AS items FROM g""")
+WITH g AS (SELECT p_brand || '/' || p_size AS kind, min(p_partkey) AS first, list(p_partkey ORDER BY p_partkey) AS items FROM part GROUP BY 1)
+SELECT kind, row_number() OVER (ORDER BY first) AS place, array_to_string(items, ',') AS items FROM g""")
 def first_seen_groups(t: Tables) -> DataFrame:
     """Groups in the order in which they first come up."""
-    return O.first_seen_groups(t.part.where("p_size < 6"), "p_type", "p_partkey").withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+    return O.first_seen_groups(t.part.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("kind"), "p_partkey"), "kind", "p_partkey").withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 @query("""
@@ -123,11 +123,11 @@ def revenue_documents(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT n_nationkey, list({'custkey': c_custkey, 'cents': CAST(round(c_acctbal * 100) AS BIGINT)} ORDER BY c_custkey) AS l, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS s FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey < 60 GROUP BY 1)
+WITH i AS (SELECT n_nationkey, list({'custkey': c_custkey, 'cents': CAST(round(c_acctbal * 100) AS BIGINT)} ORDER BY c_custkey) AS l, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS s FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT r_name AS category, to_json(list({'name': n_name, 'total': s, 'items': l} ORDER BY n_name))::VARCHAR AS topics, sum(s)::BIGINT AS total, sum(len(l))::BIGINT AS n_items FROM region JOIN nation ON n_regionkey = r_regionkey JOIN i USING (n_nationkey) GROUP BY 1""")
 def exploration_graph(t: Tables) -> DataFrame:
     """Categories, their topics and these' items as one nested document a category, summed on every level."""
-    items = t.customer.where("c_custkey < 60").select("c_nationkey", F.struct(F.col("c_custkey").alias("custkey"), cents("c_acctbal").alias("cents")).alias("x"))
+    items = t.customer.select("c_nationkey", F.struct(F.col("c_custkey").alias("custkey"), cents("c_acctbal").alias("cents")).alias("x"))
     topics = items.groupBy("c_nationkey").agg(F.sort_array(F.collect_list("x")).alias("items"), F.sum("x.cents").alias("total"))
     named = topics.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return named.groupBy(F.col("r_name").alias("category")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("n_name").alias("name"), "total", "items")))).alias("topics"), F.sum("total").alias("total"), F.sum(F.size("items")).alias("n_items"))
@@ -195,7 +195,7 @@ def tool_reads(t: Tables) -> DataFrame:
     return O.read_sizes(O.reads(t.orders, t.part, "F", 7, "Red"))
 
 
-@query("SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents")
 def inline_lengths(t: Tables) -> DataFrame:
     """Texts on one line, in code points."""
-    return t.documents.where("lang = 'en'").select("doc_id", F.length(X.inline(F.col("text"))).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.length(X.inline(F.col("text"))).cast("long").alias("n"))

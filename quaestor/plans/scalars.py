@@ -75,13 +75,13 @@ def id_batches(t: Tables) -> DataFrame:
     return ids.select("p_brand", F.array_join(F.transform(X.chunked(F.col("l"), 10), lambda x: F.array_join(x.cast("array<string>"), ",")), ";").alias("pieces"))
 
 
-@query("SELECT p_partkey, 'see ' || CASE WHEN p_size % 3 = 0 THEN '' ELSE '[' || p_size || '](/ref/' || p_size || ')' END || ' and [3](/ref/3) end' AS linked FROM part WHERE p_size > 3")
+@query("SELECT p_partkey, 'see ' || CASE WHEN p_size % 3 = 0 THEN '' ELSE '[' || p_size || '](/ref/' || p_size || ')' END || ' and [3](/ref/3) end' AS linked FROM part")
 def linked_texts(t: Tables) -> DataFrame:
     """Reference marks as links; those to nothing go."""
     text = F.concat(F.lit("see [ref:"), "p_size", F.lit("] and [ref:0, 3] end"))
     valid = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("3"))).otherwise(F.array(F.col("p_size").cast("string"), F.lit("3")))
     linked = X.linked_references(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("see [ref:0] and [ref:0, 3] end"))).otherwise(text), valid)
-    return t.part.where("p_size > 3").select("p_partkey", linked.alias("linked"))
+    return t.part.select("p_partkey", linked.alias("linked"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.07 THEN NULL ELSE CAST(floor(least(100, greatest(0, l_quantity * 4 - 50)) + 0.5) AS INT) END AS richness FROM lineitem")
@@ -111,12 +111,11 @@ def interview_costs(t: Tables) -> DataFrame:
     return t.events.select("event_id", P.interview_cost(F.col("event_id") % 60, {"click": 0.25, "view": 0.5}, F.col("event_type")).alias("cost"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN greatest(0, CAST(ceil(30 - date_diff('second', o_orderdate, TIMESTAMP '1996-01-01 00:10:30') / 60.0) AS BIGINT)) END AS minutes FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-12-30' AND TIMESTAMP '1996-01-03'")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN greatest(0, CAST(ceil(30 - date_diff('second', o_orderdate, TIMESTAMP '1996-01-01 00:10:30') / 60.0) AS BIGINT)) END AS minutes FROM orders")
 def minutes_left(t: Tables) -> DataFrame:
     """Minutes left of an estimate, rounded up, 0 at least."""
-    rows = t.orders.where(F.col("o_orderdate").between(F.lit("1995-12-30").cast("timestamp_ntz"), F.lit("1996-01-03").cast("timestamp_ntz")))
     left = P.remaining_minutes(F.when(F.col("o_orderkey") % 4 > 0, 30), F.col("o_orderdate").cast("timestamp"), F.lit("1996-01-01 00:10:30").cast("timestamp"))
-    return rows.select("o_orderkey", left.alias("minutes"))
+    return t.orders.select("o_orderkey", left.alias("minutes"))
 
 
 @query("""
