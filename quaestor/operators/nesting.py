@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def lists_of(df: DataFrame, key: str, lists: Mapping[str, tuple[Column, list[Column], Column]]) -> DataFrame:
-    """(key, one array for each list): rows that a list's condition holds for, in its order, as its item.
+    """(key, one array for each list): rows that a list's condition holds for, in its order, then the item's own, as its item.
 
     All lists of a table are gathered in one aggregate, so that it is read and shuffled once.
     """

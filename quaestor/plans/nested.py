@@ -15,8 +15,8 @@ from .rollups import cents
 
 @query("""
 WITH p AS (SELECT *, p_brand || '/' || p_type || '/' || p_size AS item FROM part), c AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
-members AS (SELECT l_partkey AS k, list({'program': l_orderkey, 'line': l_linenumber, 'cents': cents, 'zero': cents = 0} ORDER BY l_orderkey, l_linenumber) AS l, list({'kind': 'program', 'file': l_orderkey::VARCHAR, 'row': l_linenumber}) AS refs FROM c WHERE l_linestatus = 'O' GROUP BY 1),
-revenue AS (SELECT l_partkey AS k, list({'detail': l_suppkey, 'name': s_name, 'allocation': l_orderkey, 'line': l_linenumber, 'cents': cents} ORDER BY s_name, l_suppkey, l_orderkey, l_linenumber) AS l,
+members AS (SELECT l_partkey AS k, list({'program': l_orderkey, 'line': l_linenumber, 'cents': cents, 'zero': cents = 0} ORDER BY l_orderkey, l_linenumber, cents) AS l, list({'kind': 'program', 'file': l_orderkey::VARCHAR, 'row': l_linenumber}) AS refs FROM c WHERE l_linestatus = 'O' GROUP BY 1),
+revenue AS (SELECT l_partkey AS k, list({'detail': l_suppkey, 'name': s_name, 'allocation': l_orderkey, 'line': l_linenumber, 'cents': cents} ORDER BY s_name, l_suppkey, l_orderkey, l_linenumber, cents) AS l,
   list({'kind': 'allocation', 'file': l_orderkey::VARCHAR, 'row': l_linenumber}) AS refs, list(DISTINCT {'kind': 'detail', 'file': s_name, 'row': 0}) AS refs2 FROM c JOIN supplier ON s_suppkey = l_suppkey WHERE l_linestatus = 'F' GROUP BY 1),
 sections AS (SELECT item AS i, list({'code': f, 'cents': cents, 'n': n} ORDER BY f) AS l, list({'kind': 'section', 'file': item, 'row': ascii(f)}) AS refs FROM (SELECT item, l_returnflag AS f, sum(cents)::BIGINT AS cents, count(*) AS n FROM c JOIN p ON p_partkey = l_partkey GROUP BY ALL) GROUP BY 1),
 items AS (SELECT item AS i, sum(CAST(round(p_retailprice * 100) AS BIGINT))::BIGINT AS cents, count(*) AS n, list({'identity': p_partkey, 'name': p_name} ORDER BY p_name, p_partkey) AS l FROM p GROUP BY 1),
