@@ -125,3 +125,17 @@ def test_references_of_several_types(spark):
     child = spark.createDataFrame([(1, "a", 5), (2, "b", None), (2, "x", 7)], "k long, s string, n int")
     got = relational.orphans(child, [("k", "k", spark.range(1, 2).toDF("k"), "k"), ("s", "s", spark.createDataFrame([("a",), ("b",)], "s string"), "s"), ("n", "n", spark.createDataFrame([(5,), (7,)], "n int"), "n")])
     assert {r.rule: r.violations for r in got.collect()} == {"k": 2, "s": 1, "n": 1}
+
+
+def test_nested_sessions_make_no_pairs(spark):
+    rng = random.Random(8)
+    # Each holds all points inside it: 600 spans around 600 points, and short ones among them.
+    spans = [(i, i, 2000 - i) for i in range(600)] + [(1000 + i, a := rng.randint(0, 1999), a + rng.randint(0, 30)) for i in range(300)] + [(5000, 700, None), (None, 3, 9)]
+    points = [(i, rng.randint(-3, 2003)) for i in range(600)]
+    s, p = spark.createDataFrame(spans, "session long, opened long, closed long"), spark.createDataFrame(points, "id long, day long")
+    found = intervals.holding(p, s, "day", "opened", "closed", "session", bins=16, crowd=50)
+    least = lambda k: -1 if k is None else k
+    want = {i: max(((a, least(k)) for k, a, b in spans if a <= n and (b is None or n <= b)), default=(None, -1))[1] for i, n in points}
+    assert {r.id: least(r.session) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" not in plan and plan.count("Join") == 1  # with the points alone
