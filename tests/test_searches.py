@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import parsing as P
 from quaestor.functions import text as X
-from quaestor.operators import fuzzy, intervals, keywords, queues, relational, vectors
+from quaestor.operators import fuzzy, intervals, keywords, matching, queues, relational, vectors
 
 
 def grams(name):
@@ -139,3 +139,16 @@ def test_nested_sessions_make_no_pairs(spark):
     assert {r.id: least(r.session) for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" not in plan and plan.count("Join") == 1  # with the points alone
+
+
+def test_recipients_by_first_reason(spark):
+    rng = random.Random(9)
+    who = lambda: rng.choice([*range(12), None])
+    named = [(rng.choice([1, 2, 3, None]), who(), rng.choice(["1 asked", "3 spoke"])) for _ in range(25)]
+    sits = [(k, c) for k in (1, 2, 4, None) for c in rng.sample([0, 1, 2, None], 2)] * 2
+    members = [(rng.choice([0, 1, 2, None]), who()) for _ in range(30)]
+    got = matching.first_reasons(spark.createDataFrame(named, "k long, who long, reason string"), spark.createDataFrame(sits, "k long, committee long"), spark.createDataFrame(members, "committee long, who long"), "k", "2 member")
+    every = named + [(k, w, "2 member") for k, c in sits for d, w in members if c is not None and c == d]
+    want = {(k, w): min(r for a, b, r in every if (a, b) == (k, w)) for k, w, _ in every}
+    rows = got.collect()
+    assert {(r.k, r.who): r.reason for r in rows} == want and len(rows) == len(want)
