@@ -3,7 +3,7 @@
 Vectors are normalised once, so that a product of two is their cosine. The index is a
 set of centres, fitted to a bounded sample; each row belongs to its nearest one, and a
 query looks at the rows of the ``probes`` centres nearest to it. Products are made in
-blocks of arrays, and each task hands on a query's best rows alone.
+tiles of bounded size, and each task hands on a query's best rows alone.
 """
 
 from __future__ import annotations
@@ -18,16 +18,22 @@ from pyspark.sql import Window as W
 
 #: Rows that centres are fitted to, about; centres at most; queries handled at once.
 SAMPLE, CENTRES, BLOCK = 20_000, 256, 2_048
+#: Products that a task makes at once.
+TILE = 1_000_000
 
 
 def _matrix(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors as rows, and which ones have a direction: a null, an empty and a zero vector have none, nor has one of another length than ``width``, the first one's by default."""
-    rows = vectors.to_pylist()
-    width = next((len(v) for v in rows if v), 0) if width is None else width
-    good = np.array([v is not None and len(v) == width > 0 and None not in v for v in rows], bool)
-    out = np.zeros((len(rows), width))
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    width = int(next(iter(sizes[sizes > 0]), 0)) if width is None else width
+    good = (sizes == width) & (width > 0)
+    out = np.zeros((len(vectors), width))
     if good.any():
-        out[good] = np.array([v for v, g in zip(rows, good, strict=True) if g], float)
+        some = vectors.filter(pa.array(good)).flatten()
+        whole = some.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).all(1)
+        out[good] = some.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+        good[good] = whole
     length = np.linalg.norm(out, axis=1)
     good &= np.isfinite(length) & (length > 0)
     out[good] /= length[good, None]
@@ -35,6 +41,22 @@ def _matrix(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np
     return out, good
 
 
+def _best(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, id, similarity) of the ``k`` best points for each query, a tile of products at a time."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    step = max(k, TILE // max(1, len(queries)))
+    for begin in range(0, len(points) if len(queries) else 0, step):
+        near = np.round(queries @ points[begin : begin + step].T, 9)
+        # Of equals at the k-th place all stay until the order by id.
+        bound = np.maximum(least, np.partition(near, near.shape[1] - k, axis=1)[:, -k] if near.shape[1] > k else -np.inf)
+        q, at = np.nonzero(near >= np.reshape(bound, (-1, 1)))
+        q, i, s = (np.concatenate(x) for x in zip(held, (q, ids[begin + at], near[q, at]), strict=True))
+        order = np.lexsort((i, -s, q))
+        first = np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k
+        held = [x[order][first] for x in (q, i, s)]
+    return tuple(held)
+
+
 def centres(rows: DataFrame, key: str, vector: str, sample: int = SAMPLE, most: int = CENTRES, rounds: int = 8) -> np.ndarray:
     """Centres of unit vectors: as many as the square root of the sample, by rounds of nearest centre and mean."""
     n = max(1, rows.count())
@@ -84,9 +106,8 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, least: float = -1.0, inde
                     groups = [(np.flatnonzero(has & (home == c)), np.flatnonzero(known & probed[:, c])) for c in np.unique(home[has])]
                 parts = [[], [], []]
                 for r, q in groups:
-                    near = np.round(queries[q] @ points[r].T, 9)
-                    a, b = np.nonzero(near >= least)
-                    for part, values in zip(parts, (q[a], own[r[b]], near[a, b]), strict=True):
+                    a, i, s = _best(queries[q], points[r], own[r], k, least)
+                    for part, values in zip(parts, (q[a], i, s), strict=True):
                         part.append(values)
                 q, i, s = (np.concatenate(p) if p else np.zeros(0) for p in parts)
                 order = np.lexsort((i, -s, q))

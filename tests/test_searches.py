@@ -162,3 +162,16 @@ def test_repeated_queries_and_documents_make_no_pairs(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted((q, *x) for q, _ in asked for x in best[0 if q % 4 == 1 else q % 4])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [asked_id" not in plan and "Aggregate [terms" in plan
+
+
+def test_best_vectors_by_tiles(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    queries, points, ids = rng.integers(0, 3, (9, 4)) / 2.0, rng.integers(0, 3, (500, 4)) / 2.0, rng.permutation(500)
+    for tile in (50, 1_000_000):
+        monkeypatch.setattr(vectors, "TILE", tile)
+        q, i, s = vectors._best(queries, points, ids, 6, 0.5)
+        near = np.round(queries @ points.T, 9)
+        want = [(a, int(c), -b) for a in range(9) for b, c in sorted((-near[a, n], ids[n]) for n in range(500) if near[a, n] >= 0.5)[:6]]
+        assert list(zip(q.tolist(), i.tolist(), s.tolist())) == want
