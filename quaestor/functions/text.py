@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no such function."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+#: Characters of text, about, that are held as Python strings at once.
+HELD = 1_000_000
+
+
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode NFKC; Spark has no such function. A batch's texts become Python strings in small parts, whatever their length."""
+    out, step = [], max(1, HELD * len(text) // max(1, text.nbytes))
+    for at in range(0, len(text), step):
+        out.append(pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.slice(at, step).to_pylist()], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def normalize_search(text: Column, unicode: bool = True) -> Column:

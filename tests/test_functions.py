@@ -71,3 +71,17 @@ def test_links_terms_and_vectors(spark):
     vector = lambda *x: F.array(*map(F.lit, x))
     assert [value(spark, X.valid_vector(v, 2)) for v in (vector(1.0, 2.0), vector(1.0), vector(1.0, float("nan")), vector(1.0, float("inf")))] == [True, False, False, False]
     assert value(spark, X.family_name_last(F.lit(" a  b　c "))) == "b　c" and value(spark, X.committee_term(F.lit("予算特別委員会"))) == "予算"
+
+
+def test_nfkc_holds_few_texts_at_once(monkeypatch):
+    import unicodedata
+
+    import pyarrow as pa
+
+    from quaestor.functions import text as X
+
+    texts = ["ﾊﾞ" * 50, None, "", "ａ①"] * 30
+    monkeypatch.setattr(X, "HELD", 500)
+    got = X.nfkc.func(pa.array(texts))
+    assert got.to_pylist() == [None if x is None else unicodedata.normalize("NFKC", x) for x in texts]
+    assert X.nfkc.func(pa.array([], pa.string())).to_pylist() == []
