@@ -51,8 +51,11 @@ def program_details(t: Tables) -> DataFrame:
 
     flags = lines.join(parts.select("p_partkey", "item"), "p_partkey").groupBy("item", "l_returnflag").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
     sections = N.lists_of(flags, "item", {"sections": (F.lit(True), [F.col("l_returnflag")], F.struct(F.col("l_returnflag").alias("code"), "cents", "n"))})
-    # An item's parts are listed once and each takes itself out.
-    items = parts.groupBy("item").agg(F.sum("price").alias("cents"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("p_name", "p_partkey"))).alias("all"))
+    # An item's parts are written once, and each takes the text before and after itself.
+    written = F.to_json(F.struct(F.col("p_partkey").alias("identity"), F.col("p_name").alias("name")))
+    items = parts.groupBy("item").agg(F.sum("price").alias("cents"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("p_name", "p_partkey", written.alias("json")))).alias("all"))
+    # Where a key repeats, the parts themselves are needed.
+    items = items.select("item", "cents", "n", F.array_join("all.json", ",").alias("all"), F.when(F.size(F.array_distinct("all.p_partkey")) < F.col("n"), F.col("all")).alias("repeated"))
 
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(t.region.select((F.col("r_regionkey")).alias("_second"), F.col("r_name").alias("second")), (F.col("n_regionkey") + 1) % 5 == F.col("_second"))
     category = lambda c, first: F.struct(F.col(c).alias("name"), F.lit(first).alias("primary"))
@@ -62,7 +65,8 @@ def program_details(t: Tables) -> DataFrame:
     topics = N.lists_of(evidence, "p_partkey", {"published_topics": (F.lit(True), [F.col("n_name"), F.col("s_nationkey")], topic)})
 
     whole = N.with_lists(N.with_lists(parts, "p_partkey", of_part, topics), "item", sections).join(items, "item")
-    others = F.transform(F.filter("all", lambda x: x["p_partkey"] != F.col("p_partkey")), lambda x: F.struct(x["p_partkey"].alias("identity"), x["p_name"].alias("name")))
+    each = F.transform(F.filter("repeated", lambda x: x["p_partkey"] != F.col("p_partkey")), lambda x: F.struct(x["p_partkey"].alias("identity"), x["p_name"].alias("name")))
+    others = F.when(F.col("repeated").isNull(), N.without("all", written)).otherwise(F.to_json(each))
     cited = N.references(
         F.transform("member_programs", lambda x: ref("program", x["program"].cast("string"), x["line"])),
         F.array(ref("item", F.col("item"), F.lit(0))),
@@ -71,7 +75,7 @@ def program_details(t: Tables) -> DataFrame:
         F.transform("related_revenue_details", lambda x: ref("allocation", x["allocation"].cast("string"), x["line"])),
     )
     lists = [F.to_json(c).alias(c) for c in ("member_programs", "sections", "related_revenue_details", "published_topics")]
-    return whole.select("p_partkey", F.to_json(F.struct(F.col("item").alias("key"), "cents", "n")).alias("budget_item"), *lists, F.to_json(others).alias("other_programs"), F.to_json(cited).alias("source_references"))
+    return whole.select("p_partkey", F.to_json(F.struct(F.col("item").alias("key"), "cents", "n")).alias("budget_item"), *lists, others.alias("other_programs"), F.to_json(cited).alias("source_references"))
 
 
 def _leaves(t: Tables) -> DataFrame:
