@@ -26,14 +26,6 @@ def with_lists(df: DataFrame, key: str, *held: DataFrame) -> DataFrame:
     return df
 
 
-def without(objects: str, own: Column) -> Column:
-    """A JSON array of the objects that a text lists with commas, less its first one equal to ``own``."""
-    every, one = F.concat(F.lit(","), F.col(objects), F.lit(",")), F.concat(F.lit(","), own, F.lit(","))
-    place = F.call_function("locate", one, every)
-    rest = F.concat(F.substring(every, F.lit(1), place), F.substring(every, place + F.length(one), F.length(every)))
-    return F.concat(F.lit("["), F.substring(rest, F.lit(2), F.length(rest) - 2), F.lit("]"))
-
-
 def references(*lists: Column) -> Column:
     """The distinct references of several arrays, in order of their JSON."""
     every = F.array_distinct(F.concat(*lists))
