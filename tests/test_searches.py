@@ -154,6 +154,36 @@ def test_recipients_by_first_reason(spark):
     assert {(r.k, r.who): r.reason for r in rows} == want and len(rows) == len(want)
 
 
+def test_recipients_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(matching, "DEALT", 3, raising=False)
+    rng = random.Random(11)
+    who = lambda: rng.choice([*range(90), None])
+    named = [(rng.choice([*range(4000), None]), who(), rng.choice(["1 asked", "2 member", "3 spoke", None])) for _ in range(9000)]
+    sits = [(k, c) for k in [*range(3900), None] for c in rng.sample([0, 1, 2, None], rng.choice([1, 1, 1, 1, 3]))]
+    members = [(rng.choice([0, 1, 2, None]), who()) for _ in range(150)]
+    got = matching.first_reasons(spark.createDataFrame(named, "k long, who long, reason string"), spark.createDataFrame(sits, "k long, committee long"), spark.createDataFrame(members, "committee long, who long"), "k", "2 member")
+    of = {c: {w for d, w in members if d == c} for c in (0, 1, 2)}
+    want = {}
+    for k, w, r in [*named, *((k, w, "2 member") for k, c in sits if c is not None for w in of[c])]:
+        want[k, w] = min((x for x in (r, want.get((k, w))) if x), default=None)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.k, r.who): r.reason for r in rows} == want
+
+
+def test_recipients_take_little_room(spark, monkeypatch, tmp_path):
+    # As few parts as so few reports fill: 2,000 of them, five committees with 600 members each.
+    monkeypatch.setattr(matching, "PARTS", 2, raising=False)
+    monkeypatch.setattr(matching, "DEALT", 4, raising=False)
+    sits, members = spark.range(2000).selectExpr("id as k", "hash(id) % 5 as c").selectExpr("k", "abs(c) as committee"), spark.range(3000).selectExpr("cast(id % 5 as int) as committee", "id as who")
+    named = spark.range(2000).selectExpr("id as k", "id as who", "'1 asked' as reason")
+    matching.first_reasons(named, sits, members, "k", "2 member").write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    own = sits.where("k % 5 = committee").count()
+    assert back.count() == 2000 * 601 - own and back.distinct().count() == back.count()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * back.count()
+
+
 def test_repeated_queries_and_documents_make_no_pairs(spark):
     docs = [(i, ["Red bolt", "red ring", "blue bolt", None][i % 4], "Brand") for i in range(400)]
     asked = [(1000 + i, [["red", "bolt"], ["BOLT", "red", "bolt"], ["brand"], ["none"]][i % 4]) for i in range(80)]
